@@ -148,14 +148,16 @@ def nearest_known(
     """
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(position).alias("t"), F.col(c).alias("v"))) for c in columns}
 
-    def over(window: WindowSpec) -> dict[str, Column]:
-        so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-        from_here = window.rowsBetween(0, Window.unboundedFollowing)
-        out = {f"_prev_{c}": F.last(known[c], ignorenulls=True).over(so_far) for c in columns}
-        return out | {f"_next_{c}": F.first(known[c], ignorenulls=True).over(from_here) for c in columns}
+    def over(group: Sequence[str]) -> dict[str, Column]:
+        # The later side is read in reverse order: a frame that runs to the end of the
+        # group is computed anew for every row, one that starts at its begin is not.
+        ahead = Window.partitionBy(*group).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, 0)
+        behind = series_window(group, [position]).rowsBetween(Window.unboundedPreceding, 0)
+        out = {f"_prev_{c}": F.last(known[c], ignorenulls=True).over(behind) for c in columns}
+        return out | {f"_next_{c}": F.last(known[c], ignorenulls=True).over(ahead) for c in columns}
 
     if grain == "bin":
-        return placed.withColumns(over(series_window(keys, [position])))
+        return placed.withColumns(over(keys))
 
     blocks = placed.withColumn("_block", F.floor(F.col(position) / block_rows))
     group = [*keys, "_block"]
@@ -163,14 +165,14 @@ def nearest_known(
         *[F.max(known[c]).alias(f"_hi_{c}") for c in columns],
         *[F.min(known[c]).alias(f"_lo_{c}") for c in columns],
     )
-    walk = series_window(keys, ["_block"])
-    past, future = walk.rowsBetween(Window.unboundedPreceding, -1), walk.rowsBetween(1, Window.unboundedFollowing)
+    past = series_window(keys, ["_block"]).rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *group,
         *[F.last(f"_hi_{c}", ignorenulls=True).over(past).alias(f"_in_{c}") for c in columns],
-        *[F.first(f"_lo_{c}", ignorenulls=True).over(future).alias(f"_out_{c}") for c in columns],
+        *[F.last(f"_lo_{c}", ignorenulls=True).over(future).alias(f"_out_{c}") for c in columns],
     )
-    inside = join_on_keys(blocks.withColumns(over(series_window(group, [position]))), carried, group)
+    inside = join_on_keys(blocks.withColumns(over(group)), carried, group)
     filled = {f"_prev_{c}": F.coalesce(f"_prev_{c}", f"_in_{c}") for c in columns}
     filled |= {f"_next_{c}": F.coalesce(f"_next_{c}", f"_out_{c}") for c in columns}
     return inside.withColumns(filled).drop("_block", *[f"_in_{c}" for c in columns], *[f"_out_{c}" for c in columns])

@@ -106,29 +106,33 @@ def step_lengths(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str
     return stepped.withColumn("step_seconds", seconds(F.col(ts)) - seconds(F.col("_before"))).drop("_before")
 
 
-def step_facts(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str = "row") -> DataFrame:
-    """One row per series: ``freq`` (inferred), ``median_days`` and ``freq_class``.
-
-    Days, weeks, hours, minutes and seconds need one step length; months need month
-    starts or month ends one month apart. Fewer than three times have no frequency.
-    """
-    steps = step_lengths(df, ts=ts, keys=keys, grain=grain)
+def counted_steps(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str = "row") -> DataFrame:
+    """Rows per distinct step length, with what the month tests need."""
     month_index = F.year(ts) * 12 + F.month(ts)
-    counted = steps.groupBy(*keys, "step_seconds").agg(
+    return step_lengths(df, ts=ts, keys=keys, grain=grain).groupBy(*keys, "step_seconds").agg(
         F.count(F.lit(1)).alias("_c"),
         F.bool_and(F.dayofmonth(ts) == 1).alias("_starts"),
         F.bool_and(F.to_date(ts) == F.last_day(F.to_date(ts))).alias("_ends"),
         F.min(month_index).alias("_m0"), F.max(month_index).alias("_m1"))
+
+
+def regular_facts(counted: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """``freq`` per series: days, weeks, hours, minutes and seconds need one step length;
+    months need month starts or month ends one month apart. Fewer than three times have none.
+    """
     facts = counted.groupBy(*keys).agg(
         F.sum("_c").alias("_n"), F.min("step_seconds").alias("_lo"), F.max("step_seconds").alias("_hi"),
         F.bool_and("_starts").alias("_starts"), F.bool_and("_ends").alias("_ends"),
         (F.max("_m1") - F.min("_m0") + 1).alias("_months"))
+    return facts.select(*keys, regular_name().alias("freq"))
+
+
+def median_facts(counted: DataFrame, *, keys: Sequence[str], grain: str) -> DataFrame:
+    """``median_days`` and ``freq_class`` per series."""
     medians = quantiles_of_counts(
-        counted.where("step_seconds is not null"), keys=keys, value="step_seconds", count="_c", qs=(0.5,),
-        grain=time_grain(df, ts, grain))
-    medians = medians.select(*keys, (F.col("quantile") / 86400).alias("median_days"))
-    return join_on_keys(facts, medians, keys, "left").select(
-        *keys, regular_name().alias("freq"), "median_days", class_of(F.col("median_days")).alias("freq_class"))
+        counted.where("step_seconds is not null").select(*keys, "step_seconds", "_c"), keys=keys, value="step_seconds", count="_c", qs=(0.5,), grain=grain)
+    days = medians.select(*keys, (F.col("quantile") / 86400).alias("median_days"))
+    return days.withColumn("freq_class", class_of(F.col("median_days")))
 
 
 def regular_name() -> Column:
@@ -145,12 +149,12 @@ def regular_name() -> Column:
 
 def infer_frequency(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str = "row") -> DataFrame:
     """One row per series: ``freq`` if its steps are regular, else null."""
-    return step_facts(df, ts=ts, keys=keys, grain=grain).select(*keys, "freq")
+    return regular_facts(counted_steps(df, ts=ts, keys=keys, grain=grain), keys=keys)
 
 
 def frequency_class(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str = "row") -> DataFrame:
     """Median step in days and the class it names: D, W, M or null."""
-    return step_facts(df, ts=ts, keys=keys, grain=grain).select(*keys, "median_days", "freq_class")
+    return median_facts(counted_steps(df, ts=ts, keys=keys, grain=grain), keys=keys, grain=time_grain(df, ts, grain))
 
 
 def class_of(median_days: Column) -> Column:
@@ -179,20 +183,32 @@ def regularise(
     regular = planned.where("action = 'regular'").select(*out_cols)
     last = keep_last(planned.where("action <> 'regular'"), ts=ts, tie=tie, keys=keys)
     kept = last.where("action = 'deduplicated'").select(*out_cols)
-    out = regular.unionByName(kept)
-    for code, _ in CLASS_LIMITS:
-        part = last.where(F.col("action") == f"resampled_{code}")
-        bins = to_grain(part, ts=ts, y=columns, keys=keys, freq=code, empty_bins=True)
-        filled = fill_gaps(bins, columns, ts=ts, keys=keys, grain="bin", method="linear")
-        stamped = filled.withColumn(ts, F.col(ts).cast(df.schema[ts].dataType)).withColumn("action", F.lit(f"resampled_{code}"))
-        out = out.unionByName(stamped.select(*out_cols))
-    return out
+
+    def by_class(make: dict[str, Column]) -> Column:
+        out = F.lit(None)
+        for code, value in make.items():
+            out = F.when(F.col("action") == f"resampled_{code}", value).otherwise(out)
+        return out
+
+    group = [*keys, "action"]
+    codes = [code for code, _ in CLASS_LIMITS]
+    binned = last.where(F.col("action").startswith("resampled")).withColumn(ts, by_class({c: bin_of(ts, c) for c in codes}))
+    means = binned.groupBy(*group, ts).agg(*[F.avg(c).alias(c) for c in columns])
+    ends = means.groupBy(*group).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    spans = by_class({c: bins_between(F.col("_lo"), F.col("_hi"), c) for c in codes})
+    spine = ends.select(*group, F.explode(spans).alias(ts))
+    bins = join_on_keys(spine, means, [*group, ts], "left")
+    filled = fill_gaps(bins, columns, ts=ts, keys=group, grain="bin", method="linear")
+    resampled = filled.withColumn(ts, F.col(ts).cast(df.schema[ts].dataType)).select(*out_cols)
+    return regular.unionByName(kept).unionByName(resampled)
 
 
 def regular_plan(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str = "row") -> DataFrame:
     """Per series the action: regular, deduplicated or resampled_D/W/M."""
     gaps = gap_share(df, ts=ts, keys=keys).select(*keys, "days_missing", "missing_pct")
-    facts = join_on_keys(step_facts(df, ts=ts, keys=keys, grain=grain), gaps, keys)
+    counted = counted_steps(df, ts=ts, keys=keys, grain=grain)
+    facts = join_on_keys(regular_facts(counted, keys=keys), gaps, keys)
+    facts = join_on_keys(facts, median_facts(counted, keys=keys, grain=time_grain(df, ts, grain)), keys, "left")
     fits = (F.col("days_missing") > 0) & (F.col("missing_pct") < GAP_SHARE_LIMIT) & F.col("freq_class").isNotNull()
     action = F.when(F.col("freq").isNotNull(), "regular").when(fits, F.concat(F.lit("resampled_"), F.col("freq_class"))).otherwise("deduplicated")
     return facts.select(*keys, action.alias("action"))
