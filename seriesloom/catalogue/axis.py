@@ -23,27 +23,27 @@ def daily_grain(spark, d):
 @query(f"""WITH bins AS (SELECT {WEEK_END} AS ts, avg(o_totalprice) AS y FROM orders GROUP BY 1),
 spine AS (SELECT CAST(unnest(generate_series(min(ts), max(ts), INTERVAL 7 DAY)) AS DATE) AS ts FROM bins),
 gapped AS (SELECT spine.ts, bins.y FROM spine LEFT JOIN bins USING (ts)), {interpolated("gapped")}
-SELECT ts, round(y, 3) AS y FROM filled""")
+SELECT ts, round(y, 7) AS y FROM filled""")
 def weekly_resample(spark, d):
     bins = axis.to_grain(orders(spark, d), ts="ts", y="y", freq="W", empty_bins=True)
-    return rounded(fill_gaps(bins, ["y"], ts="ts", grain="bin", method="linear"), "y", digits=3)
+    return rounded(fill_gaps(bins, ["y"], ts="ts", grain="bin", method="linear"), "y", digits=7)
 
 
 @query(f"""WITH bins AS (SELECT o_orderpriority, last_day(CAST(o_orderdate AS DATE)) AS ts, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2),
 ends AS (SELECT o_orderpriority, min(date_trunc('month', ts)) AS lo, max(date_trunc('month', ts)) AS hi FROM bins GROUP BY 1),
 spine AS (SELECT o_orderpriority, last_day(CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)) AS ts FROM ends),
 gapped AS (SELECT spine.o_orderpriority, spine.ts, bins.y FROM spine LEFT JOIN bins USING (o_orderpriority, ts)), {interpolated("gapped", PRIORITY)}
-SELECT o_orderpriority, ts, round(y, 3) AS y FROM filled""")
+SELECT o_orderpriority, ts, round(y, 7) AS y FROM filled""")
 def monthly_resample(spark, d):
     bins = axis.to_grain(orders(spark, d), ts="ts", y="y", keys=PRIORITY, freq="M", empty_bins=True)
-    return rounded(fill_gaps(bins, ["y"], ts="ts", keys=PRIORITY, grain="bin", method="linear"), "y", digits=3)
+    return rounded(fill_gaps(bins, ["y"], ts="ts", keys=PRIORITY, grain="bin", method="linear"), "y", digits=7)
 
 
-@query("""SELECT event_type, date_trunc('hour', ts) AS ts, round(avg(value), 4) AS y FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, date_trunc('hour', ts) AS ts, round(sum(value), 2) AS y FROM events GROUP BY 1, 2""")
 def hourly_grain(spark, d):
     t = events(spark, d).withColumn("y", F.col("value"))
-    out = axis.to_grain(t, ts="ts", y="y", keys=["event_type"], freq="H")
-    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "y")
+    out = axis.to_grain(t, ts="ts", y="y", keys=["event_type"], freq="H", how="sum")
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "y", digits=2)
 
 
 @query("""WITH ends AS (SELECT o_orderpriority, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders GROUP BY 1),
@@ -108,17 +108,26 @@ gapped AS (SELECT spine.ts, last_rows.y FROM spine LEFT JOIN last_rows USING (ts
 
 
 @query(f"""WITH {REGULAR_PLAN}, {interpolated("gapped")}
-SELECT ts, round(filled.y, 4) AS y, 'resampled_D' AS action FROM filled, facts WHERE days > present AND (days - present) * 100.0 / days < 20
+SELECT ts, round(filled.y, 6) AS y, 'resampled_D' AS action FROM filled, facts WHERE days > present AND (days - present) * 100.0 / days < 20
 UNION ALL SELECT ts, round(last_rows.y, 4), 'deduplicated' FROM last_rows, facts WHERE (days - present) * 100.0 / days >= 20
 UNION ALL SELECT CAST(o_orderdate AS DATE), round(o_totalprice, 4), 'regular' FROM orders, facts WHERE days = present""")
 def regularise(spark, d):
-    return rounded(axis.regularise(orders(spark, d), ts="ts", y="y", tie=["o_orderkey"]), "y")
+    return rounded(axis.regularise(orders(spark, d), ts="ts", y="y", tie=["o_orderkey"]), "y", digits=6)
 
 
-@query("""SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ts, round(arg_max(o_totalprice, o_orderkey), 4) AS y, 'deduplicated' AS action
-FROM orders GROUP BY 1, 2""")
+REGULAR_PLAN_BY = """last_rows AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ts, arg_max(o_totalprice, o_orderkey) AS y FROM orders GROUP BY 1, 2),
+facts AS (SELECT o_orderpriority, min(ts) AS lo, max(ts) AS hi, max(ts) - min(ts) + 1 AS days, count(*) AS present FROM last_rows GROUP BY 1),
+plan AS (SELECT *, CASE WHEN days = present THEN 'regular' WHEN (days - present) * 100.0 / days < 20 THEN 'resampled_D' ELSE 'deduplicated' END AS action FROM facts),
+spine AS (SELECT o_orderpriority, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ts FROM plan WHERE action = 'resampled_D'),
+gapped AS (SELECT spine.o_orderpriority, spine.ts, last_rows.y FROM spine LEFT JOIN last_rows USING (o_orderpriority, ts))"""
+
+
+@query(f"""WITH {REGULAR_PLAN_BY}, {interpolated("gapped", PRIORITY)}
+SELECT o_orderpriority, ts, round(y, 6) AS y, 'resampled_D' AS action FROM filled
+UNION ALL SELECT l.o_orderpriority, l.ts, round(l.y, 6), action FROM last_rows l JOIN plan USING (o_orderpriority) WHERE action = 'deduplicated'
+UNION ALL SELECT o_orderpriority, CAST(o_orderdate AS DATE), round(o_totalprice, 6), action FROM orders JOIN plan USING (o_orderpriority) WHERE action = 'regular'""")
 def regularise_by_priority(spark, d):
-    return rounded(axis.regularise(orders(spark, d), ts="ts", y="y", keys=PRIORITY, tie=["o_orderkey"]), "y")
+    return rounded(axis.regularise(orders(spark, d), ts="ts", y="y", keys=PRIORITY, tie=["o_orderkey"]), "y", digits=6)
 
 
 @query("""SELECT CAST(l_shipdate AS DATE) AS ts, arg_max(l_orderkey, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS l_orderkey,

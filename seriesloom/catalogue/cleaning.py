@@ -140,11 +140,11 @@ def whole_number_columns(spark, d):
     return clean.whole_number_columns(read_table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"))
 
 
-@query("""SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ds, round(avg(o_totalprice), 6) AS y FROM orders GROUP BY 1, 2""")
+@query("""SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2""")
 def model_contract(spark, d):
     from seriesloom.operators.timeaxis import to_grain
-    t = to_grain(orders(spark, d), ts="ts", y="y", keys=PRIORITY)
-    return rounded(clean.to_model_contract(t, ts="ts", y="y", keys=PRIORITY), "y", digits=6)
+    t = to_grain(orders(spark, d), ts="ts", y="y", keys=PRIORITY, how="sum")
+    return rounded(clean.to_model_contract(t, ts="ts", y="y", keys=PRIORITY), "y", digits=2)
 
 
 @query("""SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 2) AS forecast, o_orderkey FROM orders""")

@@ -200,20 +200,20 @@ def detect_target(spark, d):
     return check.detect_target(read_table(spark, d, "lineitem"))
 
 
-@query("""SELECT CAST(o_orderdate AS DATE) AS ts, round(avg(o_totalprice), 6) AS y FROM orders GROUP BY 1""")
-def daily_mean_detected(spark, d):
-    """The daily mean with time and target columns found by name alone."""
+@query("""SELECT CAST(o_orderdate AS DATE) AS ts, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1""")
+def daily_total_detected(spark, d):
+    """The daily total with time and target columns found by name alone."""
     t = read_table(spark, d, "orders")
     ts, y = check.detect_by_name(t)
-    return t.groupBy(F.to_date(ts).alias("ts")).agg(r(F.avg(y), 6).alias("y"))
+    return t.groupBy(F.to_date(ts).alias("ts")).agg(r(F.sum(y), 2).alias("y"))
 
 
-@query("""SELECT CAST(ts AS DATE) AS ts, round(avg(value), 4) AS y FROM events GROUP BY 1""")
-def daily_mean_first_date(spark, d):
-    """The daily mean with the first column as time if it reads as one."""
+@query("""SELECT CAST(ts AS DATE) AS ts, round(sum(value), 2) AS y FROM events GROUP BY 1""")
+def daily_total_first_date(spark, d):
+    """The daily total with the first column as time if it reads as one."""
     t = events(spark, d).select(F.col("ts").cast("string").alias("seen_at"), "event_id", "user_id", "value")
     ts, y = check.detect_first_date(t)
-    return t.groupBy(F.to_date(ts).alias("ts")).agg(r(F.avg(y), 4).alias("y"))
+    return t.groupBy(F.to_date(ts).alias("ts")).agg(r(F.sum(y), 2).alias("y"))
 
 
 @query("""SELECT CAST(o_orderdate AS DATE) AS ts, max(o_orderkey) AS top FROM orders GROUP BY 1""")

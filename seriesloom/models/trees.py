@@ -91,7 +91,7 @@ def fit_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind:
 
 def forecast_trees(
     model, scales: DataFrame, history: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), steps: int = 30, freq: str = "D",
-    n_lags: int = 12, calendar: bool = True, name: str = "RF", cut_every: int = 10,
+    n_lags: int = 12, calendar: bool = True, name: str = "RF", cut_every: int = 5,
 ) -> DataFrame:
     """Recursive forecast of all series together, one batch per step.
 

@@ -167,6 +167,7 @@ def class_of(median_days: Column) -> Column:
 
 def regularise(
     df: DataFrame, *, ts: str, y: str | Sequence[str], keys: Sequence[str] = (), tie: Sequence[str], grain: str = "row",
+    plan: DataFrame | None = None,
 ) -> DataFrame:
     """Bring irregular series with few gaps to a regular grain; leave the others as they are.
 
@@ -174,10 +175,12 @@ def regularise(
     time; if between 0 and 20 percent of its days are missing it is averaged to the grain
     its median step names, and empty bins are interpolated. The decision is a column, so
     series of all kinds go through in one job. Returns keys, time, values and ``action``.
+    ``plan`` takes the decisions of :func:`regular_plan` where they were made on a cheaper
+    frame of the same times.
     """
     columns = [y] if isinstance(y, str) else list(y)
     rows = df.select(*keys, ts, *columns, *[c for c in tie if c not in (*keys, ts, *columns)])
-    plan = regular_plan(df, ts=ts, keys=keys, grain=grain)
+    plan = regular_plan(df, ts=ts, keys=keys, grain=grain) if plan is None else plan
     out_cols = [*keys, ts, *columns, "action"]
     planned = join_on_keys(rows, plan, keys)
     regular = planned.where("action = 'regular'").select(*out_cols)

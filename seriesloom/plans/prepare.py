@@ -15,8 +15,9 @@ from seriesloom.operators.lags import add_lag_features, full_frame
 from seriesloom.operators.ordering import ordered_columns
 from seriesloom.operators.profile import numeric_columns
 from seriesloom.operators.split import chrono_split
-from seriesloom.operators.timeaxis import regularise
+from seriesloom.operators.timeaxis import regular_plan, regularise
 from seriesloom.operators.validate import detect_date, detect_target, is_time, validate
+from seriesloom.session import cut_lineage
 from seriesloom.sources.layouts import find_layout
 from seriesloom.sources.sinks import write_splits
 from seriesloom.sources.tables import read_csv
@@ -58,12 +59,15 @@ def prepare_generic(
     numbers = [c for c in numeric_columns(parsed) if c not in keys and c != ts]
     base = parsed.select(*dict.fromkeys([*keys, ts, *tie, *numbers])).where(F.col(ts).isNotNull()).withColumn(y, F.col(y).cast("double"))
     filled = fill_gaps(base, [y], ts=ts, keys=keys, tie=tie, grain=grain, method="linear_bfill")
+    if grain == "row":
+        filled = cut_lineage(filled)  # three passes follow; the windows should run once
     capped = cap_sigma(filled, y=y, keys=keys)
     parts = {"year": F.year(ts), "month": F.month(ts), "day_of_week": monday_weekday(ts), "day_of_year": F.dayofyear(ts)}
     dated = capped.withColumns(parts)
     values = [*dict.fromkeys([*numbers, *parts])]
     doubles = dated.withColumns({c: F.col(c).cast("double") for c in values})
-    regular = regularise(doubles, ts=ts, y=values, keys=keys, tie=tie or [y], grain=grain)
+    plan = regular_plan(base.select(*keys, ts), ts=ts, keys=keys, grain=grain)
+    regular = regularise(doubles, ts=ts, y=values, keys=keys, tie=tie or [y], grain=grain, plan=plan)
     return narrow_integers(regular, skip=[*keys, y]) if narrow else regular
 
 
