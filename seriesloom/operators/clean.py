@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions import cleaning
-from seriesloom.operators.ordering import join_on_keys, with_position
+from seriesloom.operators.ordering import join_facts, with_position
 from seriesloom.operators.profile import numeric_columns, unfold
 from seriesloom.operators.quantiles import exact_quantiles
 
@@ -41,9 +41,9 @@ def cap_sigma(
     low, high = F.col("_mean") - sigmas * F.col("_std"), F.col("_mean") + sigmas * F.col("_std")
     limits = stats.select(*keys, low.alias("_low"), high.alias("_high"))
     outside = (F.col(y) > F.col("_high")) | (F.col(y) < F.col("_low"))
-    shares = join_on_keys(df.select(*keys, y), limits, keys).groupBy(*keys, "_low", "_high").agg(
+    shares = join_facts(df.select(*keys, y), limits, keys).groupBy(*keys, "_low", "_high").agg(
         (F.count(F.when(outside, 1)) < F.lit(max_share) * F.count(F.lit(1))).alias("_cap"))
-    joined = join_on_keys(df, shares, keys)
+    joined = join_facts(df, shares, keys)
     clipped = F.when(F.col("_cap") & F.col(y).isNotNull(), F.least(F.greatest(F.col(y), F.col("_low")), F.col("_high"))).otherwise(F.col(y))
     return joined.withColumn(y, clipped).select(*df.columns)
 
@@ -53,7 +53,7 @@ def cap_iqr(df: DataFrame, *, y: str, keys: Sequence[str] = (), factor: float =
     spots = exact_quantiles(df, [y], keys=keys, qs=(0.25, 0.75), grain=grain)
     q1, q3 = (F.max(F.when(F.col("q") == q, F.col("quantile"))) for q in (0.25, 0.75))
     limits = spots.groupBy(*keys).agg((q1 - factor * (q3 - q1)).alias("_low"), (q3 + factor * (q3 - q1)).alias("_high"))
-    joined = join_on_keys(df, limits, keys, "left")
+    joined = join_facts(df, limits, keys, "left")
     clipped = F.when(F.col(y) < F.col("_low"), F.col("_low")).when(F.col(y) > F.col("_high"), F.col("_high")).otherwise(F.col(y))
     return joined.withColumn(y, clipped).select(*df.columns)
 
@@ -67,14 +67,14 @@ def minmax_scale(df: DataFrame, limits: DataFrame, *, y: str, keys: Sequence[str
     """(y - min) / (max - min) by the limits; a flat series scales to 0."""
     span = F.col("scale_max") - F.col("scale_min")
     scaled = (F.col(y) - F.col("scale_min")) / F.when(span == 0, 1.0).otherwise(span)
-    return join_on_keys(df, limits, keys).withColumn(out or y, scaled).drop("scale_min", "scale_max")
+    return join_facts(df, limits, keys).withColumn(out or y, scaled).drop("scale_min", "scale_max")
 
 
 def minmax_unscale(df: DataFrame, limits: DataFrame, *, y: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """The inverse of :func:`minmax_scale`."""
     span = F.col("scale_max") - F.col("scale_min")
     raw = F.col(y) * F.when(span == 0, 1.0).otherwise(span) + F.col("scale_min")
-    return join_on_keys(df, limits, keys).withColumn(out or y, raw).drop("scale_min", "scale_max")
+    return join_facts(df, limits, keys).withColumn(out or y, raw).drop("scale_min", "scale_max")
 
 
 def whole_number_columns(df: DataFrame, *, skip: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.ordering import join_on_keys, ordered_columns
+from seriesloom.operators.ordering import join_facts, join_on_keys, ordered_columns
 
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % point of the normal
 
@@ -18,7 +18,8 @@ def acf_arrays(
     """One row per series: ``n`` and ``acf``, the autocorrelations of lags 0..n_lags."""
     known = df.where(F.col(y).isNotNull()).select(*keys, ts, y, *[c for c in tie if c not in (*keys, ts, y)])
     mean = known.groupBy(*keys).agg(F.avg(y).alias("_mean"))
-    centred = join_on_keys(known, mean, keys).withColumn("_c", F.col(y) - F.col("_mean")).drop("_mean", y)
+    join = join_on_keys if grain == "bin" else join_facts
+    centred = join(known, mean, keys).withColumn("_c", F.col(y) - F.col("_mean")).drop("_mean", y)
     lagged = ordered_columns(
         centred, lambda w: {f"_c{k}": F.lag("_c", k).over(w) for k in range(1, n_lags + 1)},
         ts=ts, keys=keys, tie=tie, grain=grain, back=n_lags)

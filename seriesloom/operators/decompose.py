@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesloom.operators.ordering import block_columns, join_on_keys, series_window, with_position
+from seriesloom.operators.ordering import block_columns, join_facts, join_on_keys, series_window, with_position
 
 
 def centred_mean(y: str, window: WindowSpec, period: int) -> Column:
@@ -39,5 +39,6 @@ def seasonal_decompose(
     phases = trended.groupBy(*keys, "_phase").agg(F.avg(F.col(y) - F.col("trend")).alias("_m"))
     centre = phases.groupBy(*keys).agg(F.avg("_m").alias("_centre"))
     seasonal = join_on_keys(phases, centre, keys).select(*keys, "_phase", (F.col("_m") - F.col("_centre")).alias("seasonal"))
-    out = join_on_keys(trended, seasonal, [*keys, "_phase"])
+    join = join_on_keys if grain == "bin" else join_facts
+    out = join(trended, seasonal, [*keys, "_phase"])
     return out.withColumn("residual", F.col(y) - F.col("trend") - F.col("seasonal")).drop("_t", "_phase")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from seriesloom.session import cut_lineage
 
 BLOCK_ROWS = 1_000_000
+FACT_ROWS = 1_000_000  # rows of a few numbers each: about 100 MB at most
 
 
 def series_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -34,9 +35,8 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """Equi-join that also matches null keys.
 
     Without keys ``right`` is the one row of a whole-table aggregate and is read as a
-    scalar subquery, which fails on a second row. With keys Spark picks the join by size:
-    per-series statistics are broadcast only below its threshold, and a hot series is
-    split by the adaptive skew join.
+    scalar subquery, which fails on a second row. With keys Spark picks the join by size.
+    For calendar-grain frames; raw rows take :func:`join_facts`.
     """
     if not keys:
         one = right.select(F.struct(*right.columns)).scalar()
@@ -46,6 +46,21 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", written: bool = False) -> DataFrame:
+    """Bring facts, one row per group, back to raw rows without moving the rows.
+
+    Spark cannot tell the size of an aggregate beforehand and would shuffle the rows by key,
+    hot keys and all. So the facts are written down (unless they are ``written`` already)
+    and counted: up to ``FACT_ROWS`` they are broadcast; more of them are joined by shuffle,
+    where the adaptive skew join splits a hot key.
+    """
+    if not keys:
+        return join_on_keys(rows, facts, keys, how)
+    facts = facts if written else cut_lineage(facts)
+    few = facts.limit(FACT_ROWS + 1).count() <= FACT_ROWS
+    return join_on_keys(rows, F.broadcast(facts) if few else facts, keys, how)
+
+
 def with_position(
     df: DataFrame,
     *,
@@ -79,7 +94,7 @@ def with_position(
     slices = slices.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     if size:
         slices = slices.withColumn(size, F.sum("_rows").over(Window.partitionBy(*keys)))
-    out = join_on_keys(placed, slices.drop("_rows"), [*keys, "_slice"])
+    out = join_facts(placed, slices.drop("_rows"), [*keys, "_slice"])
     out = out.withColumn(position, F.col("_before") + F.col("_row") - F.col("_first"))
     return out.drop("_row", "_slice", "_first", "_before")
 
@@ -172,7 +187,7 @@ def nearest_known(
         *[F.last(f"_hi_{c}", ignorenulls=True).over(past).alias(f"_in_{c}") for c in columns],
         *[F.last(f"_lo_{c}", ignorenulls=True).over(future).alias(f"_out_{c}") for c in columns],
     )
-    inside = join_on_keys(blocks.withColumns(over(group)), carried, group)
+    inside = join_facts(blocks.withColumns(over(group)), carried, group)
     filled = {f"_prev_{c}": F.coalesce(f"_prev_{c}", f"_in_{c}") for c in columns}
     filled |= {f"_next_{c}": F.coalesce(f"_next_{c}", f"_out_{c}") for c in columns}
     return inside.withColumns(filled).drop("_block", *[f"_in_{c}" for c in columns], *[f"_out_{c}" for c in columns])

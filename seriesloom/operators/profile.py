@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.calendar import monday_weekday, month_name, weekday_name
-from seriesloom.operators.ordering import join_on_keys
+from seriesloom.operators.ordering import join_facts, join_on_keys
 from seriesloom.operators.quantiles import exact_quantiles
+from seriesloom.session import cut_lineage
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -115,7 +116,7 @@ def outlier_share(df: DataFrame, *, y: str, keys: Sequence[str] = (), sigmas: fl
     """Rows further than ``sigmas`` deviations from the series' mean: count and share of all rows."""
     stats = df.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_samp(y).alias("_std"))
     far = F.abs(F.try_divide(F.col(y) - F.col("_mean"), F.col("_std"))) > sigmas
-    return join_on_keys(df.select(*keys, y), stats, keys).groupBy(*keys).agg(
+    return join_facts(df.select(*keys, y), stats, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(far, 1)).alias("outliers")
     ).withColumn("outlier_pct", F.col("outliers") * 100.0 / F.col("rows"))
 
@@ -137,9 +138,9 @@ def histogram(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()
     """
     group = [*keys, "column"]
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "_v").where("_v is not null")
-    ends = long.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ends = cut_lineage(long.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     slot = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")), F.lit(0.0))))
-    counts = join_on_keys(long, ends, group).groupBy(*group, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = join_facts(long, ends, group, written=True).groupBy(*group, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     grid = grid.select(*group, "bin", (F.col("_lo") + width * F.col("bin")).alias("lower"), (F.col("_lo") + width * (F.col("bin") + 1)).alias("upper"))

@@ -1,20 +1,26 @@
 """Exact quantiles with linear interpolation, at any number of rows per series.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one buffer, so
-it serves ``grain="bin"`` only. For raw rows the values are counted first (copies collapse
-map-side), placed by range, and only the rows at the wanted ranks are kept.
+it serves ``grain="bin"`` only. For raw rows a first scan sketches each quantile to a narrow
+bracket of values; a second scan counts the values inside the brackets one by one and each
+stretch between brackets as a whole. The counts combine map-side and are few; placed by
+range, their running sums tell which value holds a wanted rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.ordering import join_on_keys, series_window
+from seriesloom.operators.ordering import join_facts, series_window
 from seriesloom.session import cut_lineage
 
+SKETCH = 1000  # the sketch is off by at most one part in so many
+MARGIN = 3  # half a bracket's width in such parts
+
 
 def running_counts(counted: DataFrame, *, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Add ``_upto`` (rows of the series up to and with this value) and ``_n`` (all rows)."""
@@ -28,7 +34,7 @@ def running_counts(counted: DataFrame, *, keys: Sequence[str], value: str, count
         F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n"))
     inside = series_window([*keys, "_slice"], [value]).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_upto", F.sum(count).over(inside))
-    joined = join_on_keys(summed, slices, [*keys, "_slice"])
+    joined = join_facts(summed, slices, [*keys, "_slice"])
     return joined.withColumn("_upto", F.col("_upto") + F.col("_before")).drop("_slice", "_before")
 
 
@@ -56,6 +62,35 @@ def exact_quantiles(
     df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = (), qs: Sequence[float] = (0.25, 0.5, 0.75), grain: str = "row",
 ) -> DataFrame:
     """One row per series, column and q: ``column``, ``q``, ``quantile`` of the known values."""
+    group = [*keys, "column"]
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "_v")
-    counted = long.where("_v is not null").groupBy(*keys, "column", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    return quantiles_of_counts(counted, keys=[*keys, "column"], value="_v", count="_c", qs=qs, grain=grain)
+    long = long.where("_v is not null")
+    if grain == "bin":
+        counted = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        return quantiles_of_counts(counted, keys=group, value="_v", count="_c", qs=qs, grain=grain)
+
+    wanted = sorted(set(float(q) for q in qs))
+    spread = [min(1.0, max(0.0, q + side * MARGIN / SKETCH)) for q in wanted for side in (-1, 1)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in spread]), SKETCH)
+    limits = cut_lineage(long.groupBy(*group).agg(sketch.alias("_edges")))  # one row per series and column
+    edge = lambda i: F.col("_edges")[i]
+    brackets = range(len(wanted))
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(edge(2 * i), edge(2 * i + 1)) for i in brackets])
+    stretch = reduce(lambda a, b: a + b, [(F.col("_v") > edge(2 * i + 1)).cast("int") for i in brackets])
+    counted = join_facts(long, limits, group, written=True).groupBy(
+        *group, F.when(inside, F.col("_v")).alias("_exact"), F.when(~inside, stretch).alias("_stretch")
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ranked = running_counts(counted, keys=group, value="_lo", count="_c")
+
+    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+    spot = F.col("q") * (F.col("_n") - 1)
+    hits = ranked.withColumn("q", F.explode(F.array(*[F.lit(q) for q in wanted]))).where((first <= F.ceil(spot)) & (last >= F.floor(spot)))
+
+    def at(rank: Column) -> Column:
+        """The value of a rank in this row; a stretch is known at its two ends only."""
+        lost = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        known = F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(rank == first, F.col("_lo")).when(rank == last, F.col("_hi")).otherwise(lost)
+        return F.max(F.when((first <= rank) & (rank <= last), known))
+
+    low, high = at(F.floor(spot)), at(F.ceil(spot))
+    return hits.groupBy(*group, "q").agg((low + (high - low) * F.max(spot - F.floor(spot))).alias("quantile"))

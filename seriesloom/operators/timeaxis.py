@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.calendar import column
 from seriesloom.operators.fill import fill_gaps
-from seriesloom.operators.ordering import join_on_keys, ordered_columns
+from seriesloom.operators.ordering import join_facts, join_on_keys, ordered_columns
 from seriesloom.operators.quantiles import quantiles_of_counts
 
 # A gap share below this is repaired; gap medians below these days name the class.
@@ -182,7 +182,7 @@ def regularise(
     rows = df.select(*keys, ts, *columns, *[c for c in tie if c not in (*keys, ts, *columns)])
     plan = regular_plan(df, ts=ts, keys=keys, grain=grain) if plan is None else plan
     out_cols = [*keys, ts, *columns, "action"]
-    planned = join_on_keys(rows, plan, keys)
+    planned = join_facts(rows, plan, keys)
     regular = planned.where("action = 'regular'").select(*out_cols)
     last = keep_last(planned.where("action <> 'regular'"), ts=ts, tie=tie, keys=keys)
     kept = last.where("action = 'deduplicated'").select(*out_cols)
