@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.catalogue.base import PRIORITY, interpolated, orders, query, rounded
-from seriesloom.models.leastsq import least_squares, model_features
+from seriesloom.models.leastsq import least_squares
 from seriesloom.operators.fill import fill_gaps
+from seriesloom.operators.lags import add_lags
 from seriesloom.operators.metrics import score
 from seriesloom.operators.ordering import join_on_keys
 from seriesloom.operators.split import chrono_split
@@ -27,11 +29,11 @@ def flagship(spark, d):
     days = to_grain(orders(spark, d), y="y", how="sum", empty_bins=True, **where)
     filled = fill_gaps(days, ["y"], grain="bin", method="linear", **where)
     split = chrono_split(filled, grain="bin", **where)
-    rows = model_features(filled, y="y", n_lags=1, calendar=False, **where).join(split.select(*PRIORITY, "ts", "split"), [*PRIORITY, "ts"])
+    rows = add_lags(split, y="y", lags=[1], name="lag_{k}", grain="bin", **where).dropna()
     fitted = least_squares(rows.where("split = 'train'"), ["lag_1"], "y", keys=PRIORITY)
     guess = F.col("intercept") + F.col("coef")[0] * F.col("lag_1")
     test = join_on_keys(rows.where("split = 'test'"), fitted.select(*PRIORITY, "intercept", "coef"), PRIORITY).withColumn("forecast", guess)
-    scores = score(test, by=[*PRIORITY, "coef"], actual="y")
-    counts = test.groupBy(*PRIORITY).agg(F.count(F.lit(1)).alias("n_test"))
-    out = scores.join(counts, list(PRIORITY)).select(*PRIORITY, "n_test", F.col("coef")[0].alias("slope"), "mae", "rmse")
+    sized = test.withColumn("n_test", F.count(F.lit(1)).over(Window.partitionBy(*PRIORITY)))
+    scores = score(sized, by=[*PRIORITY, "n_test", "coef"], actual="y")
+    out = scores.select(*PRIORITY, "n_test", F.col("coef")[0].alias("slope"), "mae", "rmse")
     return rounded(rounded(out, "slope", digits=6), "mae", "rmse", digits=2)

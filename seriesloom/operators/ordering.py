@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.session import cut_lineage
 
@@ -81,10 +82,13 @@ def with_position(
         out = df.withColumn(position, F.row_number().over(series_window(keys, order)).cast("long") - 1)
         return out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if size else out
 
-    # The spread column splits copies that agree on every ordering column.
-    spread = df.withColumn("_spread", F.monotonically_increasing_id())
-    by = [*keys, *order, "_spread"]
-    placed = spread.repartitionByRange(*by).sortWithinPartitions(*by).drop("_spread")
+    # Two more columns split crowded ties: a hash of the row, then a number for equal rows.
+    # The sort before it gives equal rows the same numbers again if a lost task is rerun.
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    hashed = df.withColumn("_hash", F.xxhash64(*plain))
+    by = [*keys, *order, "_hash"]
+    spread = hashed.sortWithinPartitions(*by).withColumn("_copy", F.monotonically_increasing_id())
+    placed = spread.repartitionByRange(*by, "_copy").sortWithinPartitions(*by, "_copy").drop("_hash", "_copy")
     # Partition ids are read twice below, so the placement must be written down once.
     placed = cut_lineage(placed.withColumn("_row", F.monotonically_increasing_id()))
     placed = placed.withColumn("_slice", F.shiftright("_row", 33))
