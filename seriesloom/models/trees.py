@@ -21,7 +21,7 @@ from seriesloom.operators.lags import last_values
 from seriesloom.operators.ordering import join_on_keys, with_position
 from seriesloom.operators.split import fold_roles
 from seriesloom.operators.timeaxis import dates_after
-from seriesloom.session import cut_lineage
+from seriesloom.session import keep_facts
 
 SEED = 42
 
@@ -102,7 +102,7 @@ def forecast_trees(
     recent = F.reverse(F.transform("last_values", lambda v: (v - F.col("_mu")) / F.col("_sd")))
     last = F.to_date("last_ts") if freq != "H" else F.col("last_ts")
     state = tail.select(*keys, "_mu", "_sd", recent.alias("_path"), dates_after(last, steps, freq).alias("_dates"))
-    state = cut_lineage(state)
+    state = keep_facts(state)
     assembler = VectorAssembler(inputCols=feature_names(n_lags, calendar), outputCol="features")
     for k in range(1, steps + 1):
         inputs = {c: F.get("_path", F.lit(i)) for i, c in enumerate(lag_names(n_lags))}
@@ -111,7 +111,7 @@ def forecast_trees(
         guessed = model.transform(assembler.transform(state.withColumns(inputs)))
         state = guessed.select(*keys, "_mu", "_sd", F.concat(F.array("prediction"), "_path").alias("_path"), "_dates")
         if k % cut_every == 0 and k < steps:
-            state = cut_lineage(state)
+            state = keep_facts(state)
     path = F.transform(F.reverse(F.slice("_path", 1, steps)), lambda v: v * F.col("_sd") + F.col("_mu"))
     pairs = F.arrays_zip(F.col("_dates").alias("date"), path.alias("forecast"))
     return state.select(*keys, F.posexplode(pairs).alias("_i", "_p")).select(

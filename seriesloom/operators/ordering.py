@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.session import cut_lineage
+from seriesloom.session import cut_lineage, keep_facts
 
 BLOCK_ROWS = 1_000_000
 FACT_ROWS = 1_000_000  # rows of a few numbers each: about 100 MB at most
@@ -57,7 +57,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str
     """
     if not keys:
         return join_on_keys(rows, facts, keys, how)
-    facts = facts if written else cut_lineage(facts)
+    facts = facts if written else keep_facts(facts)
     few = facts.limit(FACT_ROWS + 1).count() <= FACT_ROWS
     return join_on_keys(rows, F.broadcast(facts) if few else facts, keys, how)
 
@@ -82,13 +82,12 @@ def with_position(
         out = df.withColumn(position, F.row_number().over(series_window(keys, order)).cast("long") - 1)
         return out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if size else out
 
-    # Two more columns split crowded ties: a hash of the row, then a number for equal rows.
-    # The sort before it gives equal rows the same numbers again if a lost task is rerun.
+    # Two more columns split crowded ties: a hash of the row and, for equal rows, the
+    # partition they come from. Both are the same again if a lost task is rerun.
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    hashed = df.withColumn("_hash", F.xxhash64(*plain))
-    by = [*keys, *order, "_hash"]
-    spread = hashed.sortWithinPartitions(*by).withColumn("_copy", F.monotonically_increasing_id())
-    placed = spread.repartitionByRange(*by, "_copy").sortWithinPartitions(*by, "_copy").drop("_hash", "_copy")
+    spread = df.withColumns({"_hash": F.xxhash64(*plain), "_source": F.spark_partition_id()})
+    by = [*keys, *order, "_hash", "_source"]
+    placed = spread.repartitionByRange(*by).sortWithinPartitions(*by).drop("_hash", "_source")
     # Partition ids are read twice below, so the placement must be written down once.
     placed = cut_lineage(placed.withColumn("_row", F.monotonically_increasing_id()))
     placed = placed.withColumn("_slice", F.shiftright("_row", 33))

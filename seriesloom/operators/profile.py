@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from seriesloom.functions.calendar import monday_weekday, month_name, weekday_name
 from seriesloom.operators.ordering import join_facts, join_on_keys
 from seriesloom.operators.quantiles import exact_quantiles
-from seriesloom.session import cut_lineage
+from seriesloom.session import keep_facts
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -138,7 +138,7 @@ def histogram(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()
     """
     group = [*keys, "column"]
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "_v").where("_v is not null")
-    ends = cut_lineage(long.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    ends = keep_facts(long.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     slot = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")), F.lit(0.0))))
     counts = join_facts(long, ends, group, written=True).groupBy(*group, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     width = (F.col("_hi") - F.col("_lo")) / bins

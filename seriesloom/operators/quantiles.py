@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.ordering import join_facts, series_window
-from seriesloom.session import cut_lineage
+from seriesloom.session import keep_facts
 
 SKETCH = 1000  # the sketch is off by at most one part in so many
 MARGIN = 3  # half a bracket's width in such parts
@@ -26,7 +26,7 @@ def running_counts(counted: DataFrame, *, keys: Sequence[str], value: str, count
     """Add ``_upto`` (rows of the series up to and with this value) and ``_n`` (all rows)."""
     by = [*keys, value]
     placed = counted.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id())
-    placed = cut_lineage(placed)  # slice numbers are read twice below
+    placed = keep_facts(placed)  # slice numbers are read twice below
     slices = placed.groupBy(*keys, "_slice").agg(F.sum(count).alias("_rows"))
     earlier = series_window(keys, ["_slice"]).rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(
@@ -72,7 +72,7 @@ def exact_quantiles(
     wanted = sorted(set(float(q) for q in qs))
     spread = [min(1.0, max(0.0, q + side * MARGIN / SKETCH)) for q in wanted for side in (-1, 1)]
     sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in spread]), SKETCH)
-    limits = cut_lineage(long.groupBy(*group).agg(sketch.alias("_edges")))  # one row per series and column
+    limits = keep_facts(long.groupBy(*group).agg(sketch.alias("_edges")))  # one row per series and column
     edge = lambda i: F.col("_edges")[i]
     brackets = range(len(wanted))
     inside = reduce(lambda a, b: a | b, [F.col("_v").between(edge(2 * i), edge(2 * i + 1)) for i in brackets])

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+WRITTEN = "written-"
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
     spark = (
@@ -45,6 +49,28 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read on from there."""
+    """Write a large frame as a table beside the checkpoints and read on from there.
+
+    Columnar files are smaller and faster than a checkpoint of rows, later steps read only
+    the columns they need, and Spark knows the size. :func:`clear_written` removes them.
+    """
+    path = f"{use_checkpoint_dir(df.sparkSession)}/{WRITTEN}{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_facts(df: DataFrame) -> DataFrame:
+    """Checkpoint a small frame, one row per series or slice, that several steps read."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete the tables this library wrote beside the checkpoints of this application."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(folder)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{WRITTEN}*")) or []:
+            files.delete(entry.getPath(), True)
