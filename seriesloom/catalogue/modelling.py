@@ -165,7 +165,7 @@ def seasonal_arima_search(spark, d):
 
 @query()
 def trend_season_regression(spark, d):
-    """Bent trend, yearly and weekly season and holidays taken from the days of most orders."""
+    """Bent trend with yearly and weekly season."""
     return rounded(trend_season(daily_by_priority(spark, d), **DAYS), "forecast", "forecast_lower", "forecast_upper", digits=2)
 
 
