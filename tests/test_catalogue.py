@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import compare  # noqa: E402
+from seriesloom.catalogue import QUERIES  # noqa: E402
 
 SLOW = ("forest_forecast", "boosted_forecast", "split_predictions", "grid_search", "forecast_scores")
 
@@ -22,7 +23,7 @@ def connection(small):
     return db
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(spark, connection, small, name):
     verdict, _, rows = compare(spark, connection, small, name)
     assert verdict in ("ok", "rows only"), verdict
