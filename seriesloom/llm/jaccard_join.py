@@ -337,7 +337,8 @@ def near_duplicates(
     spans = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_tokens)).alias("blocks"))
     wanted = inside.join(spans, "cluster").withColumnRenamed("doc_id", "wanted_id").drop("size")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("row", "cluster", "blocks", "copies", "d1", "d2", "text")
+    # Always by shuffle, so that the plan is the same at any size.
+    texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("row", "cluster", "blocks", "copies", "d1", "d2", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
