@@ -23,8 +23,8 @@ SHARE = 1.0
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those with a narrow margin or without a letter go."""
-    found = identify(docs, models(docs.select("doc_id", "text", "lang")))
-    return found.filter("NOT rejected").select(*docs.columns)
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), models(docs.select("doc_id", "text", "lang")))
+    return found.filter("NOT rejected").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +33,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate class."""
-    gone = near_duplicates(docs).filter("NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(cut_lineage(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document, that with the smallest id, of each near-duplicate class; one without an id stays."""
+    gone = cut_lineage(near_duplicates(docs).filter("NOT (doc_id <=> class_id)").select("doc_id").distinct())
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, by the target weights of domains, languages and sources."""
-    return mix(docs.withColumn("domain", F.expr(DOMAIN)), LEVELS, WEIGHTS, SHARE).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.expr(DOMAIN).alias("domain"), "lang", "source")
+    return mix(rows, LEVELS, WEIGHTS, SHARE).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,8 +74,9 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     Rows that repeat (same id and text) leave one of them.
     """
-    kept = exact_duplicates(docs, doc_id, text, salts).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("repeats").alias("__repeats"))
-    rows = docs.withColumn("__hash", sha256(normalised(text)))
-    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__digest")))
-    often = rows.filter("__repeats > 1").dropDuplicates(["__id", "__digest"])
-    return rows.filter("__repeats = 1").unionByName(often).select(*docs.columns)
+    kept = exact_duplicates(docs, doc_id, text, salts).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), "repeats")
+    # Columns of any name travel in one struct.
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), sha256(normalised(text)).alias("digest"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    often = rows.filter("repeats > 1").dropDuplicates(["id", "digest"])
+    return rows.filter("repeats = 1").unionByName(often).select("row.*")

@@ -107,13 +107,18 @@ def mix(
     cost nothing and come with their epoch's place. A leaf without any tokens gives no rows,
     and so does an empty table. Columns named ``epoch``, ``tokens`` are replaced.
     """
-    counted = docs.drop("epoch", "tokens").withColumn("tokens", word_count(text))
-    small = cut_lineage(counted.select(*levels, doc_id, "tokens"))
-    plan = mix_plan(small, levels, weights, budget, epochs, seed, doc_id, "tokens").filter("quota > 0").select(*levels, "whole", "rest", "cut")
-    taken = matched(counted, plan, levels)
-    key = order_key(F.col("whole") + 1, doc_id, seed)
+    # Columns of any name travel in one struct; those of the mix have names of their own.
+    names = [f"__level{k}" for k in range(len(levels))]
+    counted = docs.select(
+        F.struct(*(c for c in docs.columns if c not in ("epoch", "tokens"))).alias("row"),
+        *(F.col(c).alias(n) for c, n in zip(levels, names)), F.col(doc_id).alias("__id"), word_count(text).alias("__tokens"),
+    )
+    small = cut_lineage(counted.drop("row").withColumnsRenamed(dict(zip(names, levels))))
+    plan = mix_plan(small, levels, weights, budget, epochs, seed, "__id", "__tokens").filter("quota > 0")
+    taken = matched(counted, plan.select(*(F.col(c).alias(n) for c, n in zip(levels, names)), "whole", "rest", "cut"), names)
+    key = order_key(F.col("whole") + 1, "__id", seed)
     # No cut though something is left over: the quota ends with the epoch's last document.
-    inside = F.when(F.col("rest") <= 0, False).otherwise(F.col("cut").isNull() | (F.struct(key.alias("key"), F.col("tokens")) <= F.col("cut")))
+    inside = F.when(F.col("rest") <= 0, False).otherwise(F.col("cut").isNull() | (F.struct(key.alias("key"), F.col("__tokens").alias("tokens")) <= F.col("cut")))
     taken = taken.withColumn("epochs", F.col("whole") + F.when(inside, 1).otherwise(0)).filter("epochs > 0")
-    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), "epochs")))
-    return taken.select(*docs.drop("epoch", "tokens").columns, "epoch", "tokens")
+    epoch = F.explode(F.sequence(F.lit(1).cast("bigint"), "epochs"))
+    return taken.select("row", F.col("__tokens").alias("tokens"), epoch.alias("epoch")).select("row.*", "epoch", "tokens")
