@@ -232,11 +232,11 @@ o AS (SELECT f.k, count(*) FILTER (WHERE abs((y - m) / sd) > 3) AS far FROM r JO
 
 @query(f"""WITH {REPORT}
 SELECT f.k AS o_orderpriority, true AS is_valid,
-(CASE WHEN repeats > 0 THEN 'Found ' || repeats || ' duplicate dates in ''ts''|' ELSE '' END)
-|| (CASE WHEN days > present THEN format('Missing {{}} dates ({{:.2f}}% of time range)|', days - present, (days - present) * 100.0::DOUBLE / days) ELSE '' END)
-|| (CASE WHEN n > known THEN format('Target column ''y'' has {{}} missing values ({{:.2f}}%)|', n - known, (n - known) * 100.0::DOUBLE / n) ELSE '' END)
-|| (CASE WHEN n < 30 THEN format('Dataset has only {{}} rows, which may be insufficient for reliable forecasting|', n) ELSE '' END)
-|| (CASE WHEN far > 0 THEN format('Detected {{}} potential outliers ({{:.2f}}%) in target column|', far, far * 100.0::DOUBLE / n) ELSE '' END) AS warnings,
+(CASE WHEN repeats > 0 THEN 'repeated_times:ts:' || repeats || '|' ELSE '' END)
+|| (CASE WHEN days > present THEN format('missing_days:ts:{{}}:{{:.2f}}|', days - present, (days - present) * 100.0::DOUBLE / days) ELSE '' END)
+|| (CASE WHEN n > known THEN format('missing_values:y:{{}}:{{:.2f}}|', n - known, (n - known) * 100.0::DOUBLE / n) ELSE '' END)
+|| (CASE WHEN n < 30 THEN format('few_rows:{{}}|', n) ELSE '' END)
+|| (CASE WHEN far > 0 THEN format('outliers:y:{{}}:{{:.2f}}|', far, far * 100.0::DOUBLE / n) ELSE '' END) AS warnings,
 CAST(0 AS INTEGER) AS n_errors, n AS "rows", strftime(lo, '%Y-%m-%d') AS start_date, strftime(hi, '%Y-%m-%d') AS end_date, CAST(days - 1 AS BIGINT) AS date_range_days,
 round(m, 4) AS target_mean, round(sd, 4) AS target_std, least_y AS target_min, most_y AS target_max,
 round((days - present) * 100.0::DOUBLE / days, 6) AS missing_dates_percentage, round((n - known) * 100.0::DOUBLE / n, 6) AS missing_target_percentage
@@ -245,7 +245,9 @@ def validation_report(spark, d):
     """Orders per priority, with the price of pending orders unknown."""
     t = orders(spark, d).withColumn("y", F.when(F.col("o_orderstatus") != "P", F.col("y")))
     out = check.validate(t, ts="ts", y="y", keys=PRIORITY)
-    lines = F.concat(F.array_join(F.transform("warnings", lambda w: F.concat(w, F.lit("|"))), ""), F.lit(""))
+    percent = lambda w: F.when(w["percent"].isNotNull(), F.format_string("%.2f", w["percent"]))
+    line = lambda w: F.concat(F.concat_ws(":", w["code"], w["column"], w["count"].cast("string"), percent(w)), F.lit("|"))
+    lines = F.array_join(F.transform("warnings", line), "")
     flat = out.select(*PRIORITY, "is_valid", lines.alias("warnings"), F.size("errors").alias("n_errors"), "statistics.*")
     return rounded(rounded(flat, "target_mean", "target_std"), "missing_dates_percentage", "missing_target_percentage", digits=6)
 
@@ -258,12 +260,12 @@ def validation_summary(spark, d):
     return check.report_summary(report).select("verdict", "n_errors", "n_warnings")
 
 
-@query("""SELECT 'FAILED' AS verdict, CAST(1 AS INTEGER) AS n_errors, 'Could not convert column ''event_type'' to datetime' AS error FROM events HAVING count(*) > 0""")
+@query("""SELECT 'FAILED' AS verdict, CAST(1 AS INTEGER) AS n_errors, 'unreadable_times' AS error, count(*) AS rows_hit FROM events WHERE try_cast(event_type AS TIMESTAMP) IS NULL HAVING count(*) > 0""")
 def validation_bad_time(spark, d):
     """A text column that holds no times, named as the time column."""
     report = check.validate(events(spark, d), ts="event_type", y="value")
-    error = F.from_json("report_json", "errors array<string>")["errors"][0]
-    return check.report_summary(report).select("verdict", "n_errors", error.alias("error"))
+    error = F.from_json("report_json", f"errors array<{check.FINDING}>")["errors"][0]
+    return check.report_summary(report).select("verdict", "n_errors", error["code"].alias("error"), error["count"].alias("rows_hit"))
 
 
 @query("""SELECT count(*) < 0 AS is_summary FROM events""")

@@ -126,7 +126,7 @@ def prepare_dataset(spark, name: str, path: str, *, ts: str | None = None, y: st
     if ts is None or y is None:
         report = validate(raw, ts=ts, y=y).first()
         if not report["is_valid"]:
-            raise ValueError("; ".join(report["errors"]))
+            raise ValueError("; ".join(f"{e['code']} {e['column'] or ''}".strip() for e in report["errors"]))
         ts = ts or detect_date(raw).first()["column"]
         y = y or detect_target(raw).first()["column"]
     return prepare_generic(raw, ts=ts, y=y, **options), ts, y

@@ -16,12 +16,14 @@ class Layout:
     aliases: tuple[str, ...]
 
 
-TEXTS = "product_id product_name category discounted_price actual_price discount_percentage rating rating_count about_product user_id user_name review_id review_title review_content img_link product_link"
-
 # The two known layouts.
 LAYOUTS = {
     "product_prices": Layout(
-        "product_prices", ", ".join(f"{c} string" for c in TEXTS.split()), "date", "daily_sales", ("amazon", "product_prices")),
+        "product_prices",
+        "product_id string, product_name string, category string, discounted_price string, actual_price string, discount_percentage string, "
+        "rating string, rating_count string, about_product string, user_id string, user_name string, review_id string, review_title string, "
+        "review_content string, img_link string, product_link string",
+        "date", "daily_sales", ("amazon", "product_prices")),
     "vehicle_sales": Layout(
         "vehicle_sales",
         "year string, make string, model string, trim string, body string, transmission string, vin string, state string, "

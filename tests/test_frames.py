@@ -122,14 +122,14 @@ def test_strict_time_fails(spark):
 
 def test_validation_branches(spark):
     empty = spark.createDataFrame([], "ts date, y double")
-    assert validate.validate(empty, ts="ts", y="y").first()["errors"] == ["DataFrame is empty"]
+    assert validate.validate(empty, ts="ts", y="y").first()["errors"][0]["code"] == "empty_table"
     no_date = spark.createDataFrame([(1, 2.0)], "a int, y double")
-    assert validate.validate(no_date).first()["errors"] == ["No date column found or provided"]
+    assert validate.validate(no_date).first()["errors"][0]["code"] == "no_date_column"
     text = spark.createDataFrame([("2024-01-01", "x")], "ts string, y string")
-    assert validate.validate(text, ts="ts", y="y").first()["errors"] == ["Target column 'y' is not numeric"]
-    assert validate.validate(text, ts="ts", y="z").first()["errors"] == ["Target column 'z' not found in dataset"]
+    assert validate.validate(text, ts="ts", y="y").first()["errors"] == [("target_not_numeric", "y", None, None)]
+    assert validate.validate(text, ts="ts", y="z").first()["errors"] == [("target_column_not_found", "z", None, None)]
     few = validate.validate(series(spark, range(29)), ts="ts", y="y").first()
-    assert few["is_valid"] and few["warnings"] == ["Dataset has only 29 rows, which may be insufficient for reliable forecasting"]
+    assert few["is_valid"] and few["warnings"] == [("few_rows", None, 29, None)]
     assert few["statistics"]["rows"] == 29 and few["statistics"]["end_date"] == "2024-01-29"
 
 
