@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.leastsq import gram, least_squares, recursive_linear, solve, square
+from seriesloom.models.leastsq import constant_of, from_zero, gram, least_squares, recursive_linear, solve, square
 from seriesloom.operators.ordering import join_on_keys, series_window, with_position
 from seriesloom.operators.timeaxis import dates_after
 
@@ -112,22 +112,24 @@ def fit_group(base: DataFrame, group: list[tuple], *, ts: str, keys: Sequence[st
     fields = ",".join(f"{c}:int" for c in ORDER)
 
     @F.pandas_udf(f"array<struct<{fields},coef:array<double>,sse:double,aic:double>>")
-    def candidates(n: pd.Series, g: pd.Series) -> pd.Series:
+    def candidates(n: pd.Series, m: pd.Series, g: pd.Series) -> pd.Series:
         out = []
-        for count, packed in zip(n, g):
+        for count, means, packed in zip(n, m, g):
             full, found = square(packed, size), []
+            full = full if has_constant else from_zero(full, means)
             for order, columns in picks:
                 if count <= len(columns) + 1:
                     continue
                 beta, sse, _ = solve(full, columns) if columns else (np.zeros(0), full[-1, -1], None)
                 if not np.isfinite(sse) or sse <= 0:
                     continue
+                beta = constant_of(beta, means, columns) if has_constant else beta
                 aic = count * (np.log(2 * np.pi * sse / count) + 1) + 2 * (len(columns) + 1)
                 found.append(dict(zip(ORDER, order)) | {"coef": list(beta), "sse": sse, "aic": aic})
             out.append(found)
         return pd.Series(out)
 
-    fitted = gram(design, names, "_w", keys=keys).select(*keys, "n", F.explode(candidates("n", "g")).alias("_c"))
+    fitted = gram(design, names, "_w", keys=keys).select(*keys, "n", F.explode(candidates("n", "m", "g")).alias("_c"))
     fitted = fitted.select(*keys, *[f"_c.{c}" for c in ORDER], "n", "_c.coef", "_c.sse", "_c.aic", F.lit(has_constant).alias("has_constant"))
     return join_on_keys(fitted, tail, keys)
 

@@ -23,41 +23,61 @@ RCOND = 1e-11
 MOST_SUMS = 100  # more sums than this are not compiled into one aggregate
 
 
+def finite(column: str) -> str:
+    """SQL that is true for a known number: not null, not NaN, not infinite."""
+    return f"abs(cast(`{column}` as double)) <= 1.7976931348623157E308D"
+
+
 def gram(rows: DataFrame, x: Sequence[str], y: str, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Per series ``n`` and ``g``: the upper triangle of the products of (1, x..., y).
+    """Per series ``n``, ``m`` and ``g``: the means of (1, x..., y) and the upper triangle of
+    the products of (1, x..., y), each of x and y taken from its mean.
 
-    Rows with a null among them do not count. A few inputs are summed by generated code;
-    for many inputs each Arrow batch is reduced to one matrix product per series first.
+    Products of raw values would lose a series' movement in the digits of its level. Rows
+    with a null, NaN or infinite value among them do not count; a series without other rows
+    has no row. A few inputs are combined by generated code; for many inputs each Arrow
+    batch is reduced to one matrix product per series first.
     """
-    terms = ["1D", *[f"`{c}`" for c in x], f"`{y}`"]
-    known = rows.where(" and ".join(f"`{c}` is not null" for c in [*x, y]))
-    if len(terms) * (len(terms) + 1) // 2 > MOST_SUMS:
-        return wide_gram(known, [*x, y], keys=keys)
-    sums = ", ".join(f"sum({a} * {b})" for i, a in enumerate(terms) for b in terms[i:])
-    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr(f"array({sums})").alias("g"))
+    columns = [*x, y]
+    known = rows.where(" and ".join(finite(c) for c in columns))
+    if (len(columns) + 1) * (len(columns) + 2) // 2 > MOST_SUMS:
+        return wide_gram(known, columns, keys=keys)
+    zeros = ", ".join("0D" for _ in columns)
+    products = ", ".join(f"covar_pop(`{a}`, `{b}`) * count(1)" for i, a in enumerate(columns) for b in columns[i:])
+    means = ", ".join(f"avg(`{c}`)" for c in columns)
+    return known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"array(1D, {means})").alias("m"),
+        F.expr(f"array(cast(count(1) as double), {zeros}, {products})").alias("g")).where("n > 0")
 
 
 def wide_gram(known: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
-    """:func:`gram` by partial matrix products; their sums combine map-side."""
+    """:func:`gram` by partial products per batch; the few partial ones of a series are then merged."""
     columns, keys = list(columns), list(keys)
-    upper = np.triu_indices(len(columns) + 1)
+    upper = np.triu_indices(len(columns))
+    types = "".join(f"`{k}` {known.schema[k].dataType.simpleString()}, " for k in keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = np.column_stack([np.ones(len(batch)), batch[columns].to_numpy(dtype=float)])
-            groups = batch.groupby(keys, sort=False, dropna=False).indices if keys else {(): slice(None)}
-            products = [values[rows].T @ values[rows] for rows in groups.values()]
-            firsts = [0 if not keys else rows[0] for rows in groups.values()]
-            out = batch[keys].iloc[firsts].reset_index(drop=True) if keys else pd.DataFrame(index=range(1))
-            yield out.assign(g=[m[upper] for m in products])
+            values = batch[columns].to_numpy(dtype=float)
+            groups = batch.groupby(keys, sort=False, dropna=False).indices if keys else {(): np.arange(len(batch))}
+            groups = [rows for rows in groups.values() if len(rows)]
+            means = [values[rows].mean(axis=0) for rows in groups]
+            products = [(values[rows] - m).T @ (values[rows] - m) for rows, m in zip(groups, means)]
+            out = batch[keys].iloc[[rows[0] for rows in groups]].reset_index(drop=True) if keys else pd.DataFrame(index=range(len(groups)))
+            yield out.assign(n=[len(rows) for rows in groups], m=means, g=[p[upper] for p in products])
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        n, mean, product = 0, np.zeros(len(columns)), np.zeros(len(upper[0]))
+        for count, m, g in zip(parts["n"], parts["m"], parts["g"]):
+            gap = np.asarray(m) - mean
+            product = product + np.asarray(g) + np.outer(gap, gap)[upper] * (n * count / (n + count))
+            mean, n = mean + gap * (count / (n + count)), n + count
+        packed = np.concatenate([[float(n)], np.zeros(len(columns)), product])
+        return parts[keys].iloc[:1].reset_index(drop=True).assign(n=[n], m=[np.r_[1.0, mean]], g=[packed])
 
     slim = known.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     near = slim.sortWithinPartitions(*keys) if keys else slim  # rows of a series share a batch
-    types = "".join(f"`{k}` {known.schema[k].dataType.simpleString()}, " for k in keys)
-    cells = near.mapInPandas(partial, types + "g array<double>").select(*keys, F.posexplode("g").alias("_i", "_v"))
-    summed = cells.groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
-    packed = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_g")).where(F.size("_g") > 0)
-    return packed.select(*keys, F.round(F.col("_g")[0]["_v"]).cast("long").alias("n"), F.col("_g._v").alias("g"))
+    schema = types + "n long, m array<double>, g array<double>"
+    return near.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merge, schema)
 
 
 def square(packed: np.ndarray, size: int) -> np.ndarray:
@@ -71,9 +91,12 @@ def solve(full: np.ndarray, columns: Sequence[int], ridge: np.ndarray | None = N
     """Coefficients of the chosen inputs, their squared error and the inverse normal matrix.
 
     The last row of ``full`` is the target. Inputs are put on one scale first; inputs that
-    are all zero, or repeat others, get the shortest solution.
+    are all zero, or repeat others, get the shortest solution. Products that are not finite
+    give NaN throughout, so that one bad series does not end a job.
     """
     xx, xy, yy = full[np.ix_(columns, columns)], full[columns, -1], full[-1, -1]
+    if not np.isfinite(full[:, [*columns, -1]]).all():
+        return np.full(len(columns), np.nan), np.nan, np.full(xx.shape, np.nan)
     size = np.sqrt(np.diag(xx))
     size[size == 0] = 1.0
     scaled = xx / np.outer(size, size)
@@ -85,26 +108,50 @@ def solve(full: np.ndarray, columns: Sequence[int], ridge: np.ndarray | None = N
     return beta, max(float(sse), 0.0), inverse
 
 
+def from_zero(full: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The products of the values themselves, for models without a constant."""
+    means = np.r_[0.0, np.asarray(m, dtype=float)[1:]]
+    out = full + full[0, 0] * np.outer(means, means)
+    out[0, 1:] = out[1:, 0] = full[0, 0] * means[1:]
+    return out
+
+
+def constant_of(beta: np.ndarray, m: np.ndarray, columns: Sequence[int]) -> np.ndarray:
+    """Coefficients (constant first) of values taken from their means, for the values themselves."""
+    m = np.asarray(m, dtype=float)
+    return np.r_[beta[0] + m[-1] - beta[1:] @ m[list(columns)[1:]], beta[1:]]
+
+
 def least_squares(rows: DataFrame, x: Sequence[str], y: str, *, keys: Sequence[str] = (), ridge: float = 0.0) -> DataFrame:
-    """Per series: ``n``, ``intercept``, ``coef`` (one per input), ``stderr``, ``sse``, ``sigma``, ``r2``, ``aic``."""
+    """Per series: ``n``, ``intercept``, ``coef`` (one per input), ``stderr``, ``sse``, ``sigma``, ``r2``, ``aic``.
+
+    All but ``n`` are null where the products of a series are not finite.
+    """
     size = len(x) + 2
+    columns = list(range(size - 1))
 
     @F.pandas_udf("struct<intercept:double,coef:array<double>,stderr:array<double>,sse:double,sigma:double,r2:double,aic:double>")
-    def fit(n: pd.Series, g: pd.Series) -> pd.DataFrame:
+    def fit(n: pd.Series, m: pd.Series, g: pd.Series) -> pd.DataFrame:
         out = []
-        for count, packed in zip(n, g):
+        for count, means, packed in zip(n, m, g):
             full = square(packed, size)
             penalty = None if ridge == 0 else np.r_[0.0, np.full(len(x), ridge)]
-            beta, sse, inverse = solve(full, list(range(size - 1)), penalty)
+            beta, sse, inverse = solve(full, columns, penalty)
+            if not np.isfinite(sse):
+                out.append((None,) * 7)
+                continue
+            beta = constant_of(beta, means, columns)
+            back = np.eye(size - 1)
+            back[0, 1:] = -np.asarray(means, dtype=float)[1:-1]
             spare = count - (size - 1)
             sigma = np.sqrt(sse / spare) if spare > 0 else None
-            errors = None if sigma is None else list(sigma * np.sqrt(np.maximum(np.diag(inverse), 0)))
-            total = full[-1, -1] - full[0, -1] ** 2 / count
+            errors = None if sigma is None else list(sigma * np.sqrt(np.maximum(np.diag(back @ inverse @ back.T), 0)))
+            total = full[-1, -1]
             aic = count * np.log(sse / count) + 2 * size if sse > 0 else None
             out.append((beta[0], list(beta[1:]), errors, sse, sigma, 1 - sse / total if total > 0 else None, aic))
         return pd.DataFrame(out, columns=["intercept", "coef", "stderr", "sse", "sigma", "r2", "aic"])
 
-    return gram(rows, x, y, keys=keys).withColumn("_f", fit("n", "g")).select(*keys, "n", "_f.*")
+    return gram(rows, x, y, keys=keys).withColumn("_f", fit("n", "m", "g")).select(*keys, "n", "_f.*")
 
 
 def lag_names(n_lags: int) -> list[str]:
@@ -122,7 +169,7 @@ def model_features(
         ts=ts, keys=keys, tie=tie, grain=grain, back=n_lags)
     if calendar:
         lagged = lagged.withColumns(model_calendar(ts))
-    return lagged.dropna()
+    return lagged.dropna(subset=[c for c in lagged.columns if c not in keys])
 
 
 def feature_names(n_lags: int, calendar: bool) -> list[str]:

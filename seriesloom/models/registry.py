@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -186,6 +187,13 @@ def register(name: str, factory: Callable[..., Forecaster]) -> None:
     MODELS[name] = factory
 
 
+def reason(problem: Exception) -> str:
+    """The line that says what went wrong: the last Python error in a message, else its first line."""
+    lines = [line.strip() for line in str(problem).splitlines() if line.strip()]
+    errors = [line for line in lines if re.match(r"(\w+\.)*\w*(Error|Exception|Warning): \S", line)]
+    return (errors or lines or [type(problem).__name__])[-1 if errors else 0]
+
+
 def run_models(
     train: DataFrame, models: Sequence[str], *, ts: str, y: str, keys: Sequence[str] = (), steps: int = 30, freq: str = "D",
     options: dict[str, dict] | None = None,
@@ -193,8 +201,8 @@ def run_models(
     """Forecasts of all models, and a status per requested model and series.
 
     Each model's forecasts are written to the checkpoint folder at once, so a model that
-    fails costs only its own rows. Status: ok, unknown model, failed (with the message) or
-    no forecast (the series does not suit the model).
+    fails costs only its own rows. Status: ok, unknown model, failed (with the message), no
+    forecast (the series does not suit the model) or not finite (its numbers do not).
     """
     spark = train.sparkSession
     series = train.select(*keys).distinct() if keys else train.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
@@ -208,13 +216,13 @@ def run_models(
             forecaster = MODELS[name](ts=ts, y=y, keys=keys, freq=freq, **(options or {}).get(name, {}))
             rows = cut_lineage(forecaster.fit(train).forecast(steps).select(*keys, F.lit(name).alias("requested"), *FORECAST_COLUMNS))
         except Exception as problem:  # noqa: BLE001 - one model's failure must not end the run
-            text = str(problem).strip().splitlines() or [type(problem).__name__]
-            status.append(wanted.withColumns({"status": F.lit("failed"), "message": F.lit(text[0])}))
+            status.append(wanted.withColumns({"status": F.lit("failed"), "message": F.lit(reason(problem))}))
             continue
-        parts.append(rows)
-        made = rows.groupBy(*keys, "requested").agg(F.count(F.lit(1)).alias("_made"))
+        parts.append(rows.where("forecast is not null and abs(forecast) < double('infinity')"))
+        known = F.col("forecast").isNotNull() & (F.abs("forecast") < float("inf"))
+        made = rows.groupBy(*keys, "requested").agg(F.count(F.lit(1)).alias("_made"), F.count_if(known).alias("_known"))
         found = join_on_keys(wanted, made, [*keys, "requested"], "left")
-        ok = F.when(F.col("_made") > 0, "ok").otherwise("no forecast")
+        ok = F.when(F.col("_known") == F.col("_made"), "ok").when(F.col("_made") > 0, "not finite").otherwise("no forecast")
         status.append(found.select(*keys, "requested", ok.alias("status"), F.lit(None).cast("string").alias("message")))
     nothing = spark.createDataFrame([], "requested string, model string, step int, date date, forecast double")
     forecasts = reduce(DataFrame.unionByName, parts) if parts else nothing

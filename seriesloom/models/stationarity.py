@@ -71,16 +71,20 @@ def adf(
     width = ["statistic", "p_value", "lags", "n_obs", *CRITICAL]
 
     @F.pandas_udf("struct<statistic:double,p_value:double,lags:int,n_obs:long,crit_1:double,crit_5:double,crit_10:double>")
-    def test(use: pd.Series, n: pd.Series, g: pd.Series, head: pd.Series) -> pd.DataFrame:
+    def test(use: pd.Series, n: pd.Series, m: pd.Series, g: pd.Series, head: pd.Series) -> pd.DataFrame:
         out = []
-        for most, count, packed, first in zip(use, n, g, head):
-            full = square(packed, size)
+        for most, count, means, packed, first in zip(use, n, m, g, head):
+            full, shift = square(packed, size), np.r_[0.0, np.asarray(means, dtype=float)[1:]]
+            if not np.isfinite(full).all():
+                out.append((None,) * len(width))
+                continue
             errors = [solve(full, list(range(2 + k)))[1] for k in range(most + 1)]
             lags = int(np.argmin([count * np.log(max(e, 1e-300) / count) + 2 * (2 + k) for k, e in enumerate(errors)]))
             level = np.asarray(first, dtype=float)
             diff = np.r_[0.0, np.diff(level)]
             for t in range(lags + 1, most + 1):
                 row = np.r_[1.0, level[t - 1], diff[t - np.arange(1, lags + 1)], np.zeros(top - lags), diff[t]]
+                row = row - shift
                 full, count = full + np.outer(row, row), count + 1
             columns = list(range(2 + lags))
             beta, sse, inverse = solve(full, columns)
@@ -91,5 +95,5 @@ def adf(
             out.append((statistic, None if statistic is None else p_value(statistic), lags, count, *limits))
         return pd.DataFrame(out, columns=width)
 
-    tested = join_on_keys(sums, heads, keys).withColumn("_r", test("_use", "n", "g", F.col("_h._y")))
+    tested = join_on_keys(sums, heads, keys).withColumn("_r", test("_use", "n", "m", "g", F.col("_h._y")))
     return tested.select(*keys, *[f"_r.{c}" for c in width], (F.col("_r.p_value") <= alpha).alias("stationary"))

@@ -7,6 +7,7 @@ series as they are and lets many series share one model.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import product
 
@@ -62,7 +63,7 @@ def scaled_design(
     else:
         rows = model_features(df, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar)
         if by_split:
-            rows = rows.join(df.select(*keys, ts, by_split), [*keys, ts])
+            rows = join_on_keys(rows, df.select(*keys, ts, by_split), [*keys, ts])
     joined = join_on_keys(rows, scales, keys)
     on_scale = {c: (F.col(c) - F.col("_mu")) / F.col("_sd") for c in lag_names(n_lags)}
     joined = joined.withColumns(on_scale | {"_label": (F.col(y) - F.col("_mu")) / F.col("_sd")})
@@ -70,10 +71,7 @@ def scaled_design(
 
 
 def fit_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind: str = "rf", n_lags: int = 12, calendar: bool = True, **params):
-    """Fit ``rf``, ``gb`` or ``xgb`` on calendar-grain series; returns the model and the series' scales.
-
-    If boosting fails, a forest takes its place.
-    """
+    """Fit ``rf``, ``gb`` or ``xgb`` on calendar-grain series; returns the model and the series' scales."""
     scales = series_scales(df, y=y, keys=keys)
     design = scaled_design(df, scales, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar).select("features", "_label")
     design = design.persist()
@@ -81,10 +79,7 @@ def fit_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind:
         if kind == "rf":
             return forest(**params).fit(design), scales
         defaults = {"maxDepth": 3} if kind == "gb" else {}
-        try:
-            return boosted(**(defaults | params)).fit(design), scales
-        except Exception:  # noqa: BLE001 - any failure of the boosting falls back to the forest
-            return forest().fit(design), scales
+        return boosted(**(defaults | params)).fit(design), scales
     finally:
         design.unpersist()
 
@@ -160,7 +155,7 @@ def grid_search(
                 errors.append(scored.agg(F.avg(gap * gap).alias("mse")))  # one number per fit
             values = [e.first()["mse"] for e in errors]
             usable = [v for v in values if v is not None]
-            results.append((str(params), -sum(usable) / len(usable) if usable else None))
+            results.append((json.dumps(params), -sum(usable) / len(usable) if usable else None))
     finally:
         folds.unpersist()
     table = df.sparkSession.createDataFrame(results, "params string, neg_mse double")  # one row per grid point

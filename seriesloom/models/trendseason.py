@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.models.leastsq import gram, solve, square
+from seriesloom.models.leastsq import constant_of, gram, solve, square
 from seriesloom.operators.ordering import join_on_keys
 from seriesloom.operators.timeaxis import dates_after
 
@@ -70,7 +70,7 @@ def with_holidays(df: DataFrame, holidays: DataFrame | None, *, ts: str) -> tupl
 
 def attach_regressors(df: DataFrame, extra: DataFrame, *, ts: str, keys: Sequence[str] = ()) -> DataFrame:
     """Left join of further numeric columns by series and time."""
-    return df.join(extra, [*keys, ts], "left")
+    return join_on_keys(df, extra, [*keys, ts], "left")
 
 
 def trend_season(
@@ -99,14 +99,15 @@ def trend_season(
     penalty = np.array([0.0] + [{0: 0.0, 1: 1.0 / changepoint_prior_scale, 2: 1.0 / SEASON_SCALE**2}[c] for c in classes])
 
     @F.pandas_udf("struct<beta:array<double>,sigma:double>")
-    def fit(n: pd.Series, g: pd.Series) -> pd.DataFrame:
-        out = []
-        for count, packed in zip(n, g):
-            beta, sse, _ = solve(square(packed, size), list(range(size - 1)), penalty)
-            out.append((list(beta), math.sqrt(sse / max(count - 1, 1))))
+    def fit(n: pd.Series, m: pd.Series, g: pd.Series) -> pd.DataFrame:
+        out, columns = [], list(range(size - 1))
+        for count, means, packed in zip(n, m, g):
+            beta, sse, _ = solve(square(packed, size), columns, penalty)
+            known = np.isfinite(sse)
+            out.append((list(constant_of(beta, means, columns)), math.sqrt(sse / max(count - 1, 1))) if known else (None, None))
         return pd.DataFrame(out, columns=["beta", "sigma"])
 
-    fitted = gram(design, names, "_z", keys=keys).select(*keys, fit("n", "g").alias("_f")).select(*keys, "_f.*")
+    fitted = gram(design, names, "_z", keys=keys).select(*keys, fit("n", "m", "g").alias("_f")).select(*keys, "_f.*")
     if fitted_rows:
         scored = join_on_keys(design, fitted, keys).withColumns({"date": F.to_date(ts), "step": F.datediff(ts, "_last")})
     else:

@@ -10,13 +10,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.ordering import with_position
+from seriesloom.operators.ordering import join_on_keys, with_position
 from seriesloom.operators.profile import union_all, unfold
 
 
 def align_by_step(actual: DataFrame, forecast: DataFrame, *, keys: Sequence[str] = (), on: str = "step") -> DataFrame:
-    """Pair actual and forecast by series and step (or date); unmatched rows fall out."""
-    return forecast.join(actual.select(*keys, on, "actual"), [*keys, on], "inner")
+    """Pair actual and forecast by series and step (or date); null keys match, unmatched rows fall out."""
+    return join_on_keys(forecast, actual.select(*keys, on, "actual"), [*keys, on])
 
 
 def number_steps(df: DataFrame, *, ts: str, keys: Sequence[str] = (), grain: str = "bin") -> DataFrame:
@@ -69,17 +69,37 @@ def rank_models(scores: DataFrame, *, keys: Sequence[str] = (), metrics: Sequenc
 
 
 def blend(
-    forecasts: DataFrame, *, keys: Sequence[str] = (), models: Sequence[str], weights: Sequence[float] | None = None, name: str = "ensemble",
+    forecasts: DataFrame, *, keys: Sequence[str] = (), models: Sequence[str], weights: Sequence[float] | Mapping[str, float] | None = None,
+    name: str = "ensemble", by: str = "model", present_only: bool = False,
 ) -> DataFrame:
-    """Weighted mean of the models per step, weights normalised, cut to the steps all models have."""
-    shares = list(weights) if weights is not None else [1.0] * len(models)
+    """Weighted mean of the models per step, weights normalised, cut to the steps all models have.
+
+    ``by`` is the column that names the models. Weights stand in the order of ``models`` or
+    carry their names, which must then be those of ``models``. With ``present_only`` each
+    series blends the models it has, if more than one. Several forecasts of one model for a
+    step count as their mean.
+    """
+    if isinstance(weights, Mapping):
+        if set(weights) != set(models):
+            raise ValueError(f"weights name {sorted(weights)}, the models are {sorted(models)}")
+        shares = [float(weights[m]) for m in models]
+    else:
+        shares = list(weights) if weights is not None else [1.0] * len(models)
+        if len(shares) != len(models):
+            raise ValueError(f"{len(shares)} weights for {len(models)} models")
     total = float(sum(shares))
-    weight: Mapping = F.create_map(*[x for m, w in zip(models, shares) for x in (F.lit(m), F.lit(w / total))])
-    chosen = forecasts.where(F.col("model").isin(*models) & F.col("forecast").isNotNull())
-    out = chosen.groupBy(*keys, "step").agg(
-        F.sum(F.col("forecast") * F.element_at(weight, F.col("model"))).alias("forecast"),
-        F.min("date").alias("date"), F.count(F.lit(1)).alias("_models"))
-    return out.where(F.col("_models") == len(models)).select(*keys, F.lit(name).alias("model"), "step", "date", "forecast")
+    weight = F.create_map(*[x for m, w in zip(models, shares) for x in (F.lit(m), F.lit(w / total))])
+    chosen = forecasts.where(F.col(by).isin(*models) & F.col("forecast").isNotNull())
+    each = chosen.groupBy(*keys, by, "step").agg(F.avg("forecast").alias("forecast"), F.min("date").alias("date"))
+    share = F.element_at(weight, F.col(by))
+    out = each.groupBy(*keys, "step").agg(
+        F.sum(F.col("forecast") * share).alias("forecast"), F.sum(share).alias("_share"), F.min("date").alias("date"), F.count(F.lit(1)).alias("_models"))
+    if present_only:
+        have = each.groupBy(*keys).agg(F.count_distinct(by).alias("_have"))
+        out = join_on_keys(out, have, keys).where("_models = _have AND _have > 1 AND _share > 0").withColumn("forecast", F.col("forecast") / F.col("_share"))
+    else:
+        out = out.where(F.col("_models") == len(models))
+    return out.select(*keys, F.lit(name).alias("model"), "step", "date", "forecast")
 
 
 def forecast_frame(

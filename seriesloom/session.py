@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="seriesloom-checkpoint-")
     context.setCheckpointDir(folder)
@@ -66,11 +67,12 @@ def keep_facts(df: DataFrame) -> DataFrame:
 
 
 def clear_written(spark: SparkSession) -> None:
-    """Delete the tables this library wrote beside the checkpoints of this application."""
+    """Delete the tables and checkpoints that this application wrote; frames that read them end."""
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(folder)
         files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for entry in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{WRITTEN}*")) or []:
-            files.delete(entry.getPath(), True)
+        for pattern in (f"{WRITTEN}*", "tables-*", "rdd-*"):
+            for entry in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
+                files.delete(entry.getPath(), True)

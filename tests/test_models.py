@@ -242,3 +242,50 @@ def test_grid_search_ranks_by_error(spark):
     df = frame(spark, a=walk(80))
     out = trees.grid_search(df, grid={"numTrees": (3,), "maxDepth": (1, 3)}, n_splits=2, n_lags=2, calendar=False, **W).orderBy("rank").collect()
     assert len(out) == 2 and out[0]["neg_mse"] >= out[1]["neg_mse"]
+
+
+@pytest.mark.parametrize("level", [0.0, 1e6, 1e9])
+@pytest.mark.parametrize("wide", [False, True])
+def test_least_squares_on_a_high_level(spark, monkeypatch, level, wide):
+    """Slopes and errors are those of a direct solve of centred data, whatever the level."""
+    monkeypatch.setattr(leastsq, "MOST_SUMS", 0 if wide else 100)
+    rng = np.random.default_rng(4)
+    y = np.zeros(300)
+    for t in range(1, 300):
+        y[t] = 0.5 * y[t - 1] + rng.normal()
+    rows = [("a" if t < 150 else None, float(level + y[t - 1]), float(rng.normal()), float(level + y[t])) for t in range(1, 300)]
+    rows.append(("a", float("nan"), 1.0, 1.0))
+    df = spark.createDataFrame(rows, "k string, x1 double, x2 double, y double").repartition(3)
+    found = {r["k"]: r for r in leastsq.least_squares(df, ["x1", "x2"], "y", keys=["k"]).collect()}
+    for k in ("a", None):
+        part = np.array([r[1:] for r in rows[:-1] if r[0] == k])
+        x, target = part[:, :2] - part[:, :2].mean(axis=0), part[:, 2] - part[:, 2].mean()
+        beta, sse, _, _ = np.linalg.lstsq(x, target, rcond=None)
+        assert found[k]["n"] == len(part)
+        assert found[k]["coef"] == pytest.approx(list(beta), rel=1e-4) and found[k]["sse"] == pytest.approx(sse[0], rel=1e-4)
+        assert found[k]["intercept"] == pytest.approx(part[:, 2].mean() - beta @ part[:, :2].mean(axis=0), rel=1e-4, abs=1e-6)
+    assert leastsq.least_squares(df.where("k = 'none'"), ["x1", "x2"], "y").count() == 0
+
+
+def test_a_bad_series_leaves_the_good_one(spark):
+    bad = walk(60)
+    bad[59] = float("nan")
+    made, status = registry.run_models(frame(spark, a=walk(60), b=bad), ["arima", "lr"], steps=3, **W)
+    seen = {(r["requested"], r["k"]): r["status"] for r in status.collect()}
+    assert seen["arima", "a"] == seen["lr", "a"] == "ok"
+    assert seen["lr", "b"] != "failed" and made.where("k = 'a'").count() == 6
+
+
+def test_weights_go_with_names(spark):
+    """The order of the models changes nothing, and a null key has its scores."""
+    df = frame(spark, a=walk(120), b=[2 * v for v in walk(120)])
+    df = df.withColumn("k", F.when(F.col("k") == "a", F.col("k")))
+    runs = [forecast_run(df, models=names, weights={"lr": 1.0, "arima_search": 0.0, "ets": 3.0}, steps=5, options=None, **W) for names in (["lr", "arima_search", "ets"], ["ets", "lr", "arima_search"])]
+    first, second = ({(r["k"], r["step"]): r["forecast"] for r in run.forecasts.where("model = 'ensemble'").collect()} for run in runs)
+    assert len(first) == 10 and first == pytest.approx(second)
+    single = {(r["k"], r["step"], r["requested"]): r["forecast"] for r in runs[0].forecasts.collect()}
+    for (k, step), value in first.items():
+        assert value == pytest.approx(0.25 * single[k, step, "lr"] + 0.75 * single[k, step, "ets"])
+    assert {r["k"] for r in runs[0].scores.collect()} == {None, "a"}
+    with pytest.raises(ValueError):
+        forecast_run(df, models=["lr", "ets"], weights={"lr": 1.0}, steps=5, **W)
