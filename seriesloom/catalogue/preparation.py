@@ -61,7 +61,7 @@ UNION ALL SELECT ts, round(y, 6), 'regular' FROM c, facts WHERE days = present""
 def prepare_generic(spark, d):
     """Orders with the price of pending ones unknown: filled, capped and brought to days."""
     t = orders(spark, d).select("o_orderkey", "ts", F.when(F.col("o_orderstatus") != "P", F.col("y")).alias("y"))
-    out = prepare.prepare_generic(t, ts="ts", y="y", tie=["o_orderkey"], narrow=False)
+    out = prepare.prepare_generic(t, ts="ts", y="y", tie=["o_orderkey"])
     return rounded(out.select("ts", "y", "action"), "y", digits=6)
 
 

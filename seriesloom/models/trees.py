@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
@@ -64,10 +65,14 @@ def scaled_design(
         rows = model_features(df, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar)
         if by_split:
             rows = join_on_keys(rows, df.select(*keys, ts, by_split), [*keys, ts])
-    joined = join_on_keys(rows, scales, keys)
-    on_scale = {c: (F.col(c) - F.col("_mu")) / F.col("_sd") for c in lag_names(n_lags)}
-    joined = joined.withColumns(on_scale | {"_label": (F.col(y) - F.col("_mu")) / F.col("_sd")})
-    return VectorAssembler(inputCols=feature_names(n_lags, calendar), outputCol="features").transform(joined)
+    return on_scale(join_on_keys(rows, scales, keys), y=y, n_lags=n_lags, calendar=calendar)
+
+
+def on_scale(rows: DataFrame, *, y: str, n_lags: int, calendar: bool) -> DataFrame:
+    """``features`` and ``_label`` of model rows that carry their scale ``_mu``, ``_sd``."""
+    lags = {c: (F.col(c) - F.col("_mu")) / F.col("_sd") for c in lag_names(n_lags)}
+    scaled = rows.withColumns(lags | {"_label": (F.col(y) - F.col("_mu")) / F.col("_sd")})
+    return VectorAssembler(inputCols=feature_names(n_lags, calendar), outputCol="features").transform(scaled)
 
 
 def fit_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind: str = "rf", n_lags: int = 12, calendar: bool = True, **params):
@@ -130,32 +135,38 @@ def default_lags(train_rows: int) -> int:
 
 def grid_search(
     df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind: str = "rf", grid: dict[str, Sequence] | None = None,
-    n_splits: int = 5, n_lags: int = 12, calendar: bool = True,
+    n_splits: int = 5, n_lags: int = 12, calendar: bool = True, width: int = 4,
 ) -> DataFrame:
     """Mean squared error of every grid point over expanding-window folds, best first.
 
     Folds are cut per series in time order, so no fold trains on rows later than its test
-    block. Columns: the parameters as JSON, ``neg_mse`` and ``rank``.
+    block, and each fold's scale comes from its training rows. ``width`` grid points are
+    fitted at a time. Columns: the parameters as JSON, ``neg_mse`` and ``rank``.
     """
     grid = grid or {"rf": FOREST_GRID, "gb": BOOSTED_GRID, "xgb": SUBSAMPLED_GRID}[kind]
     build = forest if kind == "rf" else boosted
-    scales = series_scales(df, y=y, keys=keys)
-    design = scaled_design(df, scales, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar).select(*keys, ts, "features", "_label", "_sd")
-    placed = with_position(design, ts=ts, keys=keys, grain="bin", position="_t", size="_n")
-    folds = fold_roles(placed, position="_t", size="_n", n_splits=n_splits).persist()
-    results = []
+    rows = model_features(df, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar)
+    placed = with_position(rows, ts=ts, keys=keys, grain="bin", position="_t", size="_n")
+    folds = fold_roles(placed, position="_t", size="_n", n_splits=n_splits)
+    scales = series_scales(folds.where("role = 'train'"), y=y, keys=[*keys, "fold"])
+    folds = on_scale(join_on_keys(folds, scales, [*keys, "fold"]), y=y, n_lags=n_lags, calendar=calendar)
+    folds = folds.select("fold", "role", "features", "_label", "_sd").persist()
+
+    def error_of(point: tuple) -> tuple[str, float | None]:
+        params, errors = dict(zip(grid, point)), []
+        for fold in range(1, n_splits + 1):
+            part = folds.where(F.col("fold") == fold)
+            if part.where("role = 'train'").isEmpty():
+                continue
+            scored = build(**params).fit(part.where("role = 'train'")).transform(part.where("role = 'test'"))
+            gap = (F.col("prediction") - F.col("_label")) * F.col("_sd")
+            errors.append(scored.agg(F.avg(gap * gap)).first()[0])  # one number per fit
+        usable = [e for e in errors if e is not None]
+        return json.dumps(params), -sum(usable) / len(usable) if usable else None
+
     try:
-        for point in product(*grid.values()):
-            params, errors = dict(zip(grid, point)), []
-            for fold in range(1, n_splits + 1):
-                part = folds.where(F.col("fold") == fold)
-                model = build(**params).fit(part.where("role = 'train'"))
-                scored = model.transform(part.where("role = 'test'"))
-                gap = (F.col("prediction") - F.col("_label")) * F.col("_sd")
-                errors.append(scored.agg(F.avg(gap * gap).alias("mse")))  # one number per fit
-            values = [e.first()["mse"] for e in errors]
-            usable = [v for v in values if v is not None]
-            results.append((json.dumps(params), -sum(usable) / len(usable) if usable else None))
+        with ThreadPoolExecutor(width) as pool:
+            results = list(pool.map(error_of, product(*grid.values())))
     finally:
         folds.unpersist()
     table = df.sparkSession.createDataFrame(results, "params string, neg_mse double")  # one row per grid point

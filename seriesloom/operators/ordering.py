@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from seriesloom.session import cut_lineage, keep_facts
 
 BLOCK_ROWS = 1_000_000
-FACT_ROWS = 1_000_000  # rows of a few numbers each: about 100 MB at most
+FACT_BYTES = 64 << 20  # facts up to this size, as measured, are broadcast
 
 
 def series_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -52,16 +52,25 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str
 
     Spark cannot tell the size of an aggregate beforehand and would shuffle the rows by key,
     hot keys and all. So the facts are written down (unless they are ``written`` already)
-    and counted: up to ``FACT_ROWS`` they are broadcast; more of them are joined by shuffle,
+    and measured: up to ``FACT_BYTES`` they are broadcast; larger ones are joined by shuffle,
     where the adaptive skew join splits a hot key.
     """
     if not keys:
         return join_on_keys(rows, facts, keys, how)
     facts = facts if written else keep_facts(facts)
-    few = facts.limit(FACT_ROWS + 1).count() <= FACT_ROWS
+    few = measured_bytes(facts) <= FACT_BYTES
     return join_on_keys(rows, F.broadcast(facts) if few else facts, keys, how)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """The size of a frame's values: 16 bytes a field, and what texts, arrays and the like hold."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    held = [F.octet_length(c) for c in wide] + [F.octet_length(F.to_json(F.struct(c))) for c in nested]
+    row = sum((F.coalesce(h, F.lit(0)) for h in held), F.lit(16 * len(df.columns)))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
 def with_position(
     df: DataFrame,
     *,

@@ -84,7 +84,7 @@ def time_range(df: DataFrame, *, ts: str, keys: Sequence[str] = ()) -> DataFrame
 
 
 def duplicate_times(df: DataFrame, *, ts: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows, distinct times and rows that repeat a time, per series.
+    """Rows, distinct times and rows that repeat a time, per series; a missing time is one time.
 
     Times are counted in two steps, so that a long series needs no single distinct set.
     """

@@ -167,7 +167,7 @@ def class_of(median_days: Column) -> Column:
 
 def regularise(
     df: DataFrame, *, ts: str, y: str | Sequence[str], keys: Sequence[str] = (), tie: Sequence[str], grain: str = "row",
-    plan: DataFrame | None = None,
+    plan: DataFrame | None = None, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Bring irregular series with few gaps to a regular grain; leave the others as they are.
 
@@ -176,12 +176,13 @@ def regularise(
     its median step names, and empty bins are interpolated. The decision is a column, so
     series of all kinds go through in one job. Returns keys, time, values and ``action``.
     ``plan`` takes the decisions of :func:`regular_plan` where they were made on a cheaper
-    frame of the same times.
+    frame of the same times. Columns to ``carry`` along are null where rows are averaged.
     """
     columns = [y] if isinstance(y, str) else list(y)
-    rows = df.select(*keys, ts, *columns, *[c for c in tie if c not in (*keys, ts, *columns)])
+    carry = [c for c in carry if c not in (*keys, ts, *columns)]
+    rows = df.select(*dict.fromkeys([*keys, ts, *columns, *carry, *tie]))
     plan = regular_plan(df, ts=ts, keys=keys, grain=grain) if plan is None else plan
-    out_cols = [*keys, ts, *columns, "action"]
+    out_cols = [*keys, ts, *columns, *carry, "action"]
     planned = join_facts(rows, plan, keys)
     regular = planned.where("action = 'regular'").select(*out_cols)
     last = keep_last(planned.where("action <> 'regular'"), ts=ts, tie=tie, keys=keys)
@@ -202,7 +203,8 @@ def regularise(
     spine = ends.select(*group, F.explode(spans).alias(ts))
     bins = join_on_keys(spine, means, [*group, ts], "left")
     filled = fill_gaps(bins, columns, ts=ts, keys=group, grain="bin", method="linear")
-    resampled = filled.withColumn(ts, F.col(ts).cast(df.schema[ts].dataType)).select(*out_cols)
+    lost = {c: F.lit(None).cast(df.schema[c].dataType) for c in carry}
+    resampled = filled.withColumn(ts, F.col(ts).cast(df.schema[ts].dataType)).withColumns(lost).select(*out_cols)
     return regular.unionByName(kept).unionByName(resampled)
 
 

@@ -53,11 +53,13 @@ def prepare_generic(
 ) -> DataFrame:
     """Any table: parse, fill, cap, calendar parts, regular grain, whole numbers as integers.
 
-    Keeps keys, time and the numeric columns, as only those can be brought to a grain.
+    Numeric columns are brought to the grain; the others are kept for series that are not
+    resampled and null for those that are.
     """
     parsed = df if is_time(df.schema[ts]) else parse_time(df, ts=ts, lenient=True)
     numbers = [c for c in numeric_columns(parsed) if c not in keys and c != ts]
-    base = parsed.select(*dict.fromkeys([*keys, ts, *tie, *numbers])).where(F.col(ts).isNotNull()).withColumn(y, F.col(y).cast("double"))
+    others = [c for c in parsed.columns if c not in (*keys, ts, *numbers)]
+    base = parsed.select(*dict.fromkeys([*keys, ts, *tie, *numbers, *others])).where(F.col(ts).isNotNull()).withColumn(y, F.col(y).cast("double"))
     filled = fill_gaps(base, [y], ts=ts, keys=keys, tie=tie, grain=grain, method="linear_bfill")
     if grain == "row":
         filled = cut_lineage(filled)  # three passes follow; the windows should run once
@@ -67,8 +69,9 @@ def prepare_generic(
     values = [*dict.fromkeys([*numbers, *parts])]
     doubles = dated.withColumns({c: F.col(c).cast("double") for c in values})
     plan = regular_plan(base.select(*keys, ts), ts=ts, keys=keys, grain=grain)
-    regular = regularise(doubles, ts=ts, y=values, keys=keys, tie=tie or [y], grain=grain, plan=plan)
-    return narrow_integers(regular, skip=[*keys, y]) if narrow else regular
+    regular = regularise(doubles, ts=ts, y=values, keys=keys, tie=tie or [y], grain=grain, plan=plan, carry=others)
+    # Whether a column is whole is asked of the written frame, so nothing above runs twice.
+    return narrow_integers(cut_lineage(regular), skip=[*keys, y]) if narrow else regular
 
 
 def prepare_features(

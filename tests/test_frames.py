@@ -12,6 +12,7 @@ from seriesloom.operators.fill import fill_gaps
 from seriesloom.operators.ordering import series_window
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.operators.split import chrono_split, cv_folds
+from seriesloom.plans import prepare
 
 
 def series(spark, values, start=dt.date(2024, 1, 1), key=None):
@@ -159,3 +160,11 @@ def test_frequency_names(spark):
         assert timeaxis.infer_frequency(days, ts="ts").first()["freq"] == name
     two = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 2),)], "ts date")
     assert timeaxis.infer_frequency(two, ts="ts").first()["freq"] is None
+
+
+def test_texts_stay_where_nothing_is_averaged(spark):
+    """A series that is not resampled keeps its other columns; an averaged one loses them."""
+    days = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i), f"{k}{i}") for k in ("whole", "gap") for i in range(40) if k == "whole" or i % 10 != 5]
+    out = prepare.prepare_generic(spark.createDataFrame(days, "k string, ts date, y double, note string"), ts="ts", y="y", keys=["k"])
+    notes = {(r["k"], r["action"]): r["n"] for r in out.groupBy("k", "action").agg(F.count("note").alias("n")).collect()}
+    assert notes == {("whole", "regular"): 40, ("gap", "resampled_D"): 0}
