@@ -5,12 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from seriesloom.session import local_session  # noqa: E402
+from seriesloom.session import clear_written, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(shuffle_partitions=4)
+    session = local_session(shuffle_partitions=4)
+    yield session
+    clear_written(session)
 
 
 @pytest.fixture(scope="session")
