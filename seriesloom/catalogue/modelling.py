@@ -18,15 +18,25 @@ MONTHS = {"ts": "ts", "y": "y", "keys": SEGMENT}
 ACF_LAGS = 40
 
 
-@query(f"""WITH {SHIP}, c AS (SELECT ts, y - avg(y) OVER () AS c, row_number() OVER (ORDER BY ts) AS t, count(*) OVER () AS n FROM daily),
+AUTOCORRELATION = f"""c AS (SELECT ts, y - avg(y) OVER () AS c, row_number() OVER (ORDER BY ts) AS t, count(*) OVER () AS n FROM daily),
 p AS (SELECT CAST(k AS INTEGER) AS lag, any_value(a.n) AS n, sum(a.c * b.c) AS s FROM c a, range({ACF_LAGS + 1}) AS g(k), c b WHERE b.t = a.t - k GROUP BY 1),
 f AS (SELECT lag, n, s / first_value(s) OVER (ORDER BY lag) AS acf FROM p)
 SELECT lag, round(acf, 6) AS acf, round(1.959963984540054 / sqrt(n), 6) AS band,
-CASE WHEN lag = 0 THEN 0.0::DOUBLE ELSE round(1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) FILTER (WHERE lag > 0) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n), 6) END AS bartlett FROM f""")
+CASE WHEN lag = 0 THEN 0.0::DOUBLE ELSE round(1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) FILTER (WHERE lag > 0) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n), 6) END AS bartlett FROM f"""
+
+
+@query(f"WITH {SHIP}, {AUTOCORRELATION}")
 def acf(spark, d):
     return rounded(correlate.acf(ship_daily(spark, d), ts="ts", y="y", grain="bin", n_lags=ACF_LAGS), "acf", "band", "bartlett", digits=6)
 
 
+@query(f"WITH {SHIP.replace('daily AS', 'every_day AS')}, daily AS (SELECT * FROM every_day WHERE day(ts) <> 1), {AUTOCORRELATION}")
+def acf_with_gaps(spark, d):
+    """Unknown values on the first of each month; the known ones are paired by their order."""
+    t = ship_daily(spark, d).withColumn("y", F.when(F.dayofmonth("ts") != 1, F.col("y")))
+    return rounded(correlate.acf(t, ts="ts", y="y", grain="bin", n_lags=ACF_LAGS), "acf", "band", "bartlett", digits=6)
+
+
 @query(f"""WITH RECURSIVE {SHIP}, c AS (SELECT ts, y - avg(y) OVER () AS c, row_number() OVER (ORDER BY ts) AS t, count(*) OVER () AS n FROM daily),
 p AS (SELECT k AS lag, any_value(a.n) AS n, sum(a.c * b.c) AS s FROM c a, range({ACF_LAGS + 1}) AS g(k), c b WHERE b.t = a.t - k GROUP BY 1),
 l AS (SELECT any_value(n) AS n, list(s / s0 ORDER BY lag) AS r FROM p, (SELECT s AS s0 FROM p WHERE lag = 0)),
@@ -67,11 +77,14 @@ def ols_lags(spark, d):
     return fitted.select(*PRIORITY, "n", r("intercept").alias("intercept"), F.posexplode("coef").alias("place", "coef")).withColumn("coef", r("coef", 6))
 
 
-@query(f"""WITH RECURSIVE {DAILY_BY}, x AS (SELECT o_orderpriority, ts, y, lag(y) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS b FROM daily),
+RECURSION = f"""WITH RECURSIVE {DAILY_BY}, x AS (SELECT o_orderpriority, ts, y, lag(y) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS b FROM daily),
 f AS (SELECT o_orderpriority, regr_intercept(y, b) AS a, regr_slope(y, b) AS s, max(ts) AS last_ts, arg_max(y, ts) AS v FROM x GROUP BY 1),
 z AS (SELECT o_orderpriority, a, s, last_ts, 1 AS step, a + s * v AS forecast FROM f
   UNION ALL SELECT o_orderpriority, a, s, last_ts, step + 1, a + s * forecast FROM z WHERE step < 30)
-SELECT o_orderpriority, 'LR' AS model, CAST(step AS INTEGER) AS step, last_ts + CAST(step AS INTEGER) AS date, round(forecast, 3) AS forecast FROM z""")
+SELECT o_orderpriority, 'LR' AS model, CAST(step AS INTEGER) AS step, last_ts + CAST(step AS INTEGER) AS date, round(forecast, 3) AS forecast FROM z"""
+
+
+@query(RECURSION)
 def recursive_linear(spark, d):
     fitted = leastsq.fit_lag_regression(daily_by_priority(spark, d), n_lags=1, calendar=False, **DAYS)
     return rounded(leastsq.forecast_lag_regression(fitted, keys=PRIORITY, n_lags=1, calendar=False), "forecast", digits=3)
@@ -206,9 +219,9 @@ def grid_search(spark, d):
     return trees.grid_search(daily_by_priority(spark, d), grid={"numTrees": (20,), "maxDepth": (3, 5)}, **DAYS)
 
 
-@query()
+@query(RECURSION)
 def model_round_trip(spark, d):
     """Forecasts of a model that was saved and loaded again."""
-    first = MODELS["lr"](**DAYS).fit(daily_by_priority(spark, d))
-    again = MODELS["lr"](**DAYS).load(spark, first.save(scratch(spark)))
+    first = MODELS["lr"](n_lags=1, calendar=False, **DAYS).fit(daily_by_priority(spark, d))
+    again = MODELS["lr"](n_lags=1, calendar=False, **DAYS).load(spark, first.save(scratch(spark)))
     return rounded(again.forecast(30), "forecast", digits=3)

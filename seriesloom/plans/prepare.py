@@ -98,7 +98,8 @@ def features_legacy(df: DataFrame, *, ts: str = "date", y: str = "sales", keys:
     def build(w: WindowSpec):
         lags = {f"{y}_lag{k}": F.lag(y, k).over(w) for k in (1, 7, 30)}
         return lags | {f"{y}_rolling_{k}d": full_frame(F.avg(y), y, w.rowsBetween(-(k - 1), 0), k) for k in (7, 30)}
-    return ordered_columns(add_date_parts(df, ts=ts), build, ts=ts, keys=keys, tie=tie, grain=grain, back=30).dropna()
+    out = ordered_columns(add_date_parts(df, ts=ts), build, ts=ts, keys=keys, tie=tie, grain=grain, back=30)
+    return out.dropna(subset=[c for c in out.columns if c not in keys])
 
 
 def prepare_legacy(
