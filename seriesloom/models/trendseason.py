@@ -22,6 +22,7 @@ from seriesloom.operators.timeaxis import dates_after
 SEASONS = (("yearly", 365.25, 10, 365), ("weekly", 7.0, 3, 14), ("daily", 1.0, 4, 7))
 N_BENDS = 25
 BEND_RANGE = 0.8
+MOST_HOLIDAYS = 200
 SEASON_SCALE = 10.0
 Z80 = 1.2815515655446004  # fixed value: two-sided 80 % point of the normal
 
@@ -61,7 +62,9 @@ def with_holidays(df: DataFrame, holidays: DataFrame | None, *, ts: str) -> tupl
     """Flag columns, one per holiday name, joined by day. ``holidays`` has ``ds`` and ``holiday``."""
     if holidays is None:
         return df, []
-    names = [r["holiday"] for r in holidays.select("holiday").distinct().orderBy("holiday").collect()]  # a list of names
+    names = [r["holiday"] for r in holidays.select("holiday").distinct().orderBy("holiday").limit(MOST_HOLIDAYS + 1).collect()]
+    if len(names) > MOST_HOLIDAYS:
+        raise ValueError(f"more than {MOST_HOLIDAYS} holiday names; each becomes an input of the regression")
     flags = holidays.groupBy(F.to_date("ds").alias("_hday")).agg(
         *[F.max(F.when(F.col("holiday") == h, 1.0).otherwise(0.0)).alias(f"_holiday{i}") for i, h in enumerate(names)])
     joined = df.join(flags, F.to_date(ts) == F.col("_hday"), "left").drop("_hday")

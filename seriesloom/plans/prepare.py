@@ -16,7 +16,7 @@ from seriesloom.operators.ordering import ordered_columns
 from seriesloom.operators.profile import numeric_columns
 from seriesloom.operators.split import chrono_split
 from seriesloom.operators.timeaxis import regular_plan, regularise
-from seriesloom.operators.validate import detect_date, detect_target, is_time, validate
+from seriesloom.operators.validate import is_time, validate
 from seriesloom.session import cut_lineage
 from seriesloom.sources.layouts import find_layout
 from seriesloom.sources.sinks import write_splits
@@ -131,6 +131,6 @@ def prepare_dataset(spark, name: str, path: str, *, ts: str | None = None, y: st
         report = validate(raw, ts=ts, y=y).first()
         if not report["is_valid"]:
             raise ValueError("; ".join(f"{e['code']} {e['column'] or ''}".strip() for e in report["errors"]))
-        ts = ts or detect_date(raw).first()["column"]
-        y = y or detect_target(raw).first()["column"]
+        found = {f["code"]: f["column"] for f in report["suggestions"]}  # the report names what it has detected
+        ts, y = ts or found["date_detected"], y or found["target_detected"]
     return prepare_generic(raw, ts=ts, y=y, **options), ts, y
