@@ -9,8 +9,13 @@ from seriesloom.session import cut_lineage
 
 
 def _joined_to_smallest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the smallest of u and all its v as ``m``; a hub's rows are split by the adaptive join."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("s"), F.least("u", "m").alias("m"))
+    """Edges (u, v) with the smallest of u and all its v as ``m``; a hub's rows are split by the adaptive join.
+
+    The adaptive join splits only where both sides are shuffled for it. So the key of the
+    aggregate is made a new value, which hides that its rows are dealt by u already.
+    """
+    key = F.col("u").bitwiseXOR(F.lit(0).cast("bigint"))
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m")).select(key.alias("s"), F.least("u", "m").alias("m"))
     return edges.join(smallest, F.col("u") == F.col("s")).select("u", "v", "m")
 
 
