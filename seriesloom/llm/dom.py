@@ -26,7 +26,7 @@ ENDS = {
     "body": (frozenset({"head"}), frozenset()),
 }
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
 class Node:
@@ -76,9 +76,10 @@ def parse(text: str | None) -> Node:
         names, hidden = [], False
         if m[3]:
             for a in _ATTRIBUTE.finditer(m[3]):
-                if a[1].lower() == "hidden":
+                name = a[1].lower()
+                if name == "hidden":
                     hidden = True
-                else:
+                elif name in ("class", "id", "role"):
                     names += (a[2] or a[3] or a[4] or "").lower().split()
         new = Node(tag, tuple(names), hidden, node)
         node.children.append(new)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.dom import Node, blocks, parse
+from seriesloom.llm.dom import BLOCK, Node, blocks, parse
 from seriesloom.session import cut_lineage
 
 SAMPLE = 8
@@ -35,11 +35,22 @@ _NOT_ARTICLE = frozenset(
     " copyright disqus dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted"
     " promotion related reply replies search share sharing sidebar site-footer site-header social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Second words of a hyphenated name that leave its first word in force: ``share-buttons`` is no text, ``share-price`` is.
+_PARTS = frozenset(
+    "area bar block body box button buttons container content form holder icons inner item items label link links list message outer overlay panel"
+    " placeholder posts row section slot stories teaser teasers thread tools top bottom left right unit widget wrap wrapper".split()
+)
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main body section".split())
 
 
-def not_article(node: Node) -> bool:
-    """Whether an element says of itself that it is no part of the article."""
+#: Elements that hold text themselves; their names do not speak against them.
+_TEXT = frozenset("html body main article p h1 h2 h3 h4 h5 h6 hgroup blockquote pre dt dd figcaption".split())
+
+
+def not_text(node: Node) -> bool:
+    """Whether tag or attributes of an element, whatever its names, leave no text of the article in it."""
+    if node.tag in ("html", "body"):
+        return False
     if node.tag in _NOT_TEXT or node.hidden:
         return True
     if node.tag == "header":  # that of an article holds its title
@@ -47,9 +58,27 @@ def not_article(node: Node) -> bool:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    if node.tag in ("html", "body", "main", "article") or not node.names:
+    return False
+
+
+def not_article(node: Node) -> bool:
+    """Whether an element says of itself that it is no part of the article; names only count on containers."""
+    if not_text(node):
+        return True
+    if node.tag in _TEXT or not node.names:
         return False
-    return any(n in _NOT_ARTICLE or not _NOT_ARTICLE.isdisjoint(re.split(r"[-_]+", n)[:1]) for n in node.names)
+    if node.tag not in BLOCK:  # an inline element in a heading or paragraph is part of it
+        up = node.parent
+        while up is not None and up.tag not in BLOCK:
+            up = up.parent
+        if up is not None and up.tag in _TEXT - {"html", "body", "main", "article"}:
+            return False
+    return any(map(_not_article_name, node.names))
+
+
+def _not_article_name(name: str) -> bool:
+    first, *rest = re.split(r"[-_]+", name)
+    return name in _NOT_ARTICLE or first in _NOT_ARTICLE and all(w in _PARTS or w in _NOT_ARTICLE or w.isdigit() or not w for w in rest)
 
 
 def path_of(node: Node) -> str:

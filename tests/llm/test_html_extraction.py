@@ -52,3 +52,12 @@ def test_table(spark):
     want = sorted([(i, f"text {i}") for i in range(12)] + [(0, "text 0"), (50, "fifty"), (51, ""), (-1, "none"), (52, ("long " * 50_000).strip())])
     assert got == want
     assert extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_attributes_by_full_name():
+    """Values that hold the word hidden hide nothing, and names do not remove headings or slots."""
+    body = (
+        '<h1 class="header-title">Title</h1><h2 id="search-engines">Engines</h2><div class="share-price">12.30</div><p title="hidden gems">one</p>'
+        '<p aria-hidden="false">two</p><p hidden>gone</p><div class="share-buttons">gone</div><p>a <span class="comment">b</span></p>'
+    )
+    assert main_text(f'<body style="overflow-x:hidden"><article>{body}</article>', NO_WRAPPER) == "Title\n\nEngines\n\n12.30\n\none\n\ntwo\n\na b"
