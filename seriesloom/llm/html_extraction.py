@@ -1,22 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. For each host a few different pages (``sample``, those
-with the smallest hashes) are parsed, runs of like siblings are folded into one repeated node,
-and the trees are aligned by simple tree matching. Nodes that all sampled pages have with the
-same text are template, nodes whose text varies are slots. The wrapper of the host is where
-most of the slots' text lies, the main element, and what is template inside it.
-
-Applied to every page of the host, it yields the blocks of the main element without template
-blocks and without what a page marks as something else: menus, headers and footers, side bars,
-notices, adverts, forms, scripts, styles and comments. Plain paragraphs, headings and the like
-in the main element stay even if all sampled pages have them, as copies of articles do.
+Pages of one host share a template. Nodes of two pages that a tree matching would align have
+the same labels from the root down, so nodes are told apart by their path, and by the layout of
+their page, the set of elements near the top. For each host, a few different pages (``sample``) are counted:
+a text is template if at least half of the pages that have its node have it there, in the
+layout or in the host as a whole. All other texts are slots.
+
+Applied to every page of the host, the wrapper yields all slots in page order, wherever they
+stand, without what a page marks as something else: menus, headers and footers, side bars,
+notices, adverts, forms, scripts, styles and comments. Pages with the same text in these blocks
+count once, so copies of an article do not make it template; and where template takes most of
+the plain paragraphs and headings of a page (near copies), those stay.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +32,10 @@ from seriesloom.session import cut_lineage
 
 SAMPLE = 8
 MAIN_SHARE = 0.8
+TEMPLATE_SHARE = 0.5
+#: Fewest different pages that make a text template, outside and inside an article or main element.
+LEAST, LEAST_INSIDE = 2, 3
+LAYOUT_DEPTH = 3
 # Elements and names that are not the article.
 _NOT_TEXT = frozenset("head title script style noscript template iframe svg textarea form button select nav menu footer aside dialog".split())
 _NOT_ARTICLE = frozenset(
@@ -166,79 +174,98 @@ def nodes(tree: Folded) -> Iterator[Folded]:
         todo += node.children
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of some pages of a host: ``main`` (a path) and ``template`` (texts by path)."""
-    trees = [fold(parse(p)) for p in pages]
-    template: dict[str, list[str]] = {}
-    if len(trees) > 1:
-        same = {id(n): 0 for n in nodes(trees[0])}
-        for other in trees[1:]:
-            for x, y in aligned(trees[0], other):
-                same[id(x)] += x.texts == y.texts
-        for n in nodes(trees[0]):
-            if n.texts and same[id(n)] == len(trees) - 1:
-                template.setdefault(n.path, []).extend(n.texts)
-    # The slots' text by the path of each element above it.
-    weight: dict[str, int] = {}
-    total = 0
-    for tree in trees:
-        for n in nodes(tree):
-            size = sum(len(t) for t in n.texts if t not in template.get(n.path, ()))
-            labels = n.path.split("/")
-            if not size or any(_marked(label) for label in labels):
-                continue
-            total += size
-            for k in range(1, len(labels) + 1):
-                path = "/".join(labels[:k])
-                weight[path] = weight.get(path, 0) + size
-    named = [p for p in weight if p.split("/")[-1].split(".")[0] in ("article", "main")]
-    if named:
-        main = max(named, key=lambda p: (weight[p], p.split("/")[-1].startswith("article"), -len(p)))
-    else:
-        deep = [p for p, w in weight.items() if w >= MAIN_SHARE * total and p.split("/")[-1].split(".")[0] in ("html", "body", "div", "section", "td", "table")]
-        main = max(deep, key=lambda p: (p.count("/"), p), default="")
-    return {"main": main, "template": template}
+class Block(NamedTuple):
+    """A block of a page: its text, whether it is plain (an unnamed paragraph, heading or the like),
+    the path of its element, and per scope (host, layout) the numbers of the node and of the node with this text."""
 
+    line: str
+    plain: bool
+    path: str
+    keys: tuple[tuple[int, int], ...]
 
-def _marked(label: str) -> bool:
-    tag, *names = label.split(".")
-    return not_article(Node(tag, tuple(names), False, Node("article") if tag == "header" else None))
 
+def number(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
-def main_text(page: str | None, wrapper: dict) -> str:
-    """The blocks of the main elements, joined by empty lines.
 
-    A page without the host's main element is looked at for an article or main element of its
-    own, and else taken as a whole.
+def read_page(page: str | None) -> list[Block]:
+    """The blocks of a page that it does not mark as something else.
+
+    If names leave nothing of a page, they are not asked.
     """
     root = parse(page)
-    found, fallback, todo = [], [], [root]
-    while todo:
-        node = todo.pop()
-        if node.parent is not None:
-            if not_article(node):
-                continue
-            if wrapper["main"] and node.tag == wrapper["main"].rsplit("/", 1)[-1].split(".")[0] and path_of(node) == wrapper["main"]:
-                found.append(node)
-                continue
-            if node.tag in ("article", "main"):
-                fallback.append(node)
-        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    if not found:
-        inner = {id(n) for n in fallback}
-        found = [n for n in fallback if not any(id(up) in inner for up in _above(n))] or [root]
+    found = list(blocks(root, not_article)) or list(blocks(root, not_text))
+    layout = str(number(*sorted(_skeleton(root))))
+    scopes = [("host",), ("layout", layout)]
+    paths: dict[int, str] = {}
     out = []
-    for top in found:
-        for owner, line in blocks(top, not_article):
-            if owner.tag in _PROSE and not owner.names or line not in wrapper["template"].get(path_of(owner), ()):
-                out.append(line)
-    return "\n\n".join(out)
+    for owner, line in found:
+        path = paths.get(id(owner))
+        if path is None:
+            path = paths[id(owner)] = path_of(owner)
+        keys = tuple((number(*scope, path), number(*scope, path, line)) for scope in scopes)
+        out.append(Block(line, owner.tag in _PROSE and not owner.names, path, keys))
+    return out
+
+
+def _skeleton(root: Node) -> set[str]:
+    """Paths of the block elements near the top of a page, other than plain text."""
+    out, todo = set(), [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        for child in node.children:
+            if isinstance(child, Node) and child.tag in BLOCK and (child.tag not in _TEXT or child.tag in ("html", "body", "main", "article")):
+                below = f"{path}/{child.label}"
+                out.add(below)
+                if depth + 1 < LAYOUT_DEPTH:
+                    todo.append((child, below, depth + 1))
+    return out
 
 
-def _above(node: Node) -> Iterator[Node]:
-    while node.parent is not None:
-        node = node.parent
-        yield node
+def inside(path: str) -> bool:
+    """Whether an article or main element is on a path."""
+    return any(label.split(".", 1)[0] in ("article", "main") for label in path.split("/"))
+
+
+def least(path: str) -> int:
+    return LEAST_INSIDE if inside(path) else LEAST
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of the pages of a host: ``template`` (numbers of nodes with their text) and ``main``.
+
+    ``main`` is the path of the deepest element that has most of the slots' text; it describes
+    the host and limits nothing.
+    """
+    every = {tuple(b.line for b in found): found for found in map(read_page, pages)}
+    on, with_text, need = Counter(), Counter(), {}
+    for found in every.values():
+        on.update({p for b in found for p, _ in b.keys})
+        with_text.update({k for b in found for k in b.keys})
+        need.update({k: least(b.path) for b in found for k in b.keys})
+    template = {k[1] for k, n in with_text.items() if n >= need[k] and n >= TEMPLATE_SHARE * on[k[0]]}
+    weight: Counter = Counter()
+    for found in every.values():
+        for b in found:
+            if not any(t in template for _, t in b.keys):
+                labels = b.path.split("/")
+                weight.update({"/".join(labels[:k]): len(b.line) for k in range(len(labels) + 1)})
+    deep = [p for p, w in weight.items() if p and w >= MAIN_SHARE * weight[""] and p.split("/")[-1].split(".")[0] in ("html", "body", "main", "article", "div", "section", "td", "table")]
+    return {"main": max(deep, key=lambda p: (p.count("/"), p), default=""), "template": template}
+
+
+def main_text(page: str | None, wrapper: dict) -> str:
+    """The slots of a page in page order, joined by empty lines.
+
+    If less than half of the plain text is slots, the plain blocks all stay: the page is then
+    more likely a near copy of others than a page made of template.
+    """
+    found = read_page(page)
+    template = wrapper["template"]
+    fixed = [any(t in template for _, t in b.keys) for b in found]
+    plain = sum(len(b.line) for b in found if b.plain)
+    slots = sum(len(b.line) for b, f in zip(found, fixed) if b.plain and not f)
+    return "\n\n".join(b.line for b, f in zip(found, fixed) if not f or b.plain and 2 * slots < plain)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
@@ -257,7 +284,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     picked = rows.join(chosen, (F.col("host") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("of")) & (F.xxhash64("html") == F.col("hash")))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"h": [frame["host"].iloc[0]], "wrapper": [json.dumps(induce(sorted(set(frame["html"]))))]})
+        return pd.DataFrame({"h": [frame["host"].iloc[0]], "wrapper": [json.dumps(induce(sorted(set(frame["html"]))), default=sorted)]})
 
     few = picked.groupBy("host", "hash").agg(F.min("html").alias("html"))  # repeated rows are one
     wrappers = cut_lineage(few.groupBy("host").applyInPandas(learn, "h string, wrapper string"))
@@ -271,7 +298,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
                 wrapper = wrapper.as_py()
                 if wrapper not in read:
                     read.clear() if len(read) > 1000 else None
-                    read[wrapper] = json.loads(wrapper)
+                    read[wrapper] = {"template": frozenset(json.loads(wrapper)["template"])}
                 text.append(main_text(page.as_py(), read[wrapper]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(text, pa.string())], ["page_id", "url", "host", "text"])
 

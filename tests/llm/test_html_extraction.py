@@ -61,3 +61,13 @@ def test_attributes_by_full_name():
         '<p aria-hidden="false">two</p><p hidden>gone</p><div class="share-buttons">gone</div><p>a <span class="comment">b</span></p>'
     )
     assert main_text(f'<body style="overflow-x:hidden"><article>{body}</article>', NO_WRAPPER) == "Title\n\nEngines\n\n12.30\n\none\n\ntwo\n\na b"
+
+
+def test_every_varying_slot_is_kept():
+    """Teasers in article elements do not stand for the page, and a title or second body of its own is kept."""
+    pages = [
+        f"<body><div class='head-line'>Lead {i}</div><div class='content'><p>story {i} {'long ' * 40}</p></div><div class='second'>more of {i}</div>"
+        f"<article class='card'>teaser {i}</article></body>"
+        for i in range(5)
+    ]
+    assert main_text(pages[3], induce(pages)).split("\n\n") == ["Lead 3", f"story 3 {'long ' * 40}".strip(), "more of 3", "teaser 3"]
