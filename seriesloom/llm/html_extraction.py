@@ -2,7 +2,7 @@
 
 Pages of one host share a template. Nodes of two pages that a tree matching would align have
 the same labels from the root down, so nodes are told apart by their path, and by the layout of
-their page, the set of elements near the top. For each host, a few different pages (``sample``) are counted:
+their page, the set of elements near the top. For each host, all different pages are counted:
 a text is template if at least half of the pages that have its node have it there, in the
 layout or in the host as a whole. All other texts are slots.
 
@@ -15,22 +15,19 @@ the plain paragraphs and headings of a page (near copies), those stay.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.dom import BLOCK, Node, blocks, parse
 from seriesloom.session import cut_lineage
 
-SAMPLE = 8
 MAIN_SHARE = 0.8
 TEMPLATE_SHARE = 0.5
 #: Fewest different pages that make a text template, outside and inside an article or main element.
@@ -268,39 +265,55 @@ def main_text(page: str | None, wrapper: dict) -> str:
     return "\n\n".join(b.line for b, f in zip(found, fixed) if not f or b.plain and 2 * slots < plain)
 
 
-def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
+def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, host, text`` for every row of ``pages``.
 
     Null and malformed urls share a host. A null or empty page has an empty text; so has one
-    without text in its main element. Hosts with one page have a wrapper without template.
+    without text outside marked elements. Hosts with one page have a wrapper without template.
     Repeated rows each give a row. Other columns are not read; an empty table gives no rows.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host.alias("host"))
-    # A few different pages of each host; the limit by rank acts before the shuffle.
-    hashed = rows.select("host", "page_id", F.xxhash64("html").alias("hash")).groupBy("host", "hash").agg(F.min("page_id").alias("of"))
-    ranked = hashed.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("hash"))).filter(F.col("place") <= sample)
-    chosen = cut_lineage(ranked.select(F.col("host").alias("h"), "hash", "of"))
-    picked = rows.join(chosen, (F.col("host") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("of")) & (F.xxhash64("html") == F.col("hash")))
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"h": [frame["host"].iloc[0]], "wrapper": [json.dumps(induce(sorted(set(frame["html"]))), default=sorted)]})
+    def counted(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], ["h", "node", "t", "least", "digest"])
 
-    few = picked.groupBy("host", "hash").agg(F.min("html").alias("html"))  # repeated rows are one
-    wrappers = cut_lineage(few.groupBy("host").applyInPandas(learn, "h string, wrapper string"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if len(out) > 20_000:
+                    yield counted(out)
+                    out = []
+                found = read_page(page.as_py())
+                digest = number(*(b.line for b in found))
+                nodes_of = {p for b in found for p, _ in b.keys}
+                texts = {(p, t, least(b.path)) for b in found for p, t in b.keys}
+                out += [(host, p, None, 0, digest) for p in nodes_of]
+                out += [(host, p, t, n, digest) for p, t, n in texts]
+            yield counted(out)
+
+    # Different pages by node, and by node and text; pages alike in all blocks are one.
+    seen = rows.select("host", "html").mapInArrow(count, "h string, node bigint, t bigint, least int, digest bigint").distinct()
+    support = seen.groupBy("h", "node", "t", "least").agg(F.count("*").alias("n")).filter("t IS NULL OR n >= least")
+    support = cut_lineage(support)
+    on = support.filter("t IS NULL AND n > 1").select(F.col("h").alias("on_h"), F.col("node").alias("on_node"), F.col("n").alias("on_n"))
+    fixed = support.filter("t IS NOT NULL").join(on, (F.col("h") == F.col("on_h")) & (F.col("node") == F.col("on_node")))
+    fixed = fixed.filter(F.col("n") >= TEMPLATE_SHARE * F.col("on_n"))
+    wrappers = cut_lineage(fixed.groupBy("h").agg(F.sort_array(F.collect_set("t")).alias("template")))
     kind = rows.schema[0].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict] = {}
         for batch in batches:
             text = []
-            for page, wrapper in zip(batch.column(3), batch.column(4)):
-                wrapper = wrapper.as_py()
-                if wrapper not in read:
+            for host, page, template in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if host not in read:
                     read.clear() if len(read) > 1000 else None
-                    read[wrapper] = {"template": frozenset(json.loads(wrapper)["template"])}
-                text.append(main_text(page.as_py(), read[wrapper]))
+                    read[host] = {"template": frozenset(template.as_py() or ())}
+                text.append(main_text(page.as_py(), read[host]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(text, pa.string())], ["page_id", "url", "host", "text"])
 
-    joined = rows.join(wrappers, F.col("host") == F.col("h")).select("page_id", "url", "host", "html", "wrapper")
+    joined = rows.join(wrappers, F.col("host") == F.col("h"), "left").select("page_id", "url", "host", "html", "template")
     return joined.mapInArrow(apply, f"page_id {kind}, url string, host string, text string")

@@ -71,3 +71,13 @@ def test_every_varying_slot_is_kept():
         for i in range(5)
     ]
     assert main_text(pages[3], induce(pages)).split("\n\n") == ["Lead 3", f"story 3 {'long ' * 40}".strip(), "more of 3", "teaser 3"]
+
+
+def test_template_of_all_pages(spark):
+    """Each layout has its template, plain paragraphs included; odd pages do not hinder, copies keep their text."""
+    first = [f"<body><div class='top'>Menu one</div><article><p>story {i} goes on</p><p>Read our paper</p></article></body>" for i in range(40)]
+    second = [f"<body><div class='lay'><div>Menu two</div><p>tale {i} goes on</p></div></body>" for i in range(5)]
+    odd, copies = ["<body>error 500</body>"], [f"<body><div class='ad'>{i}</div><article><p>one copied text</p></article></body>" for i in range(30)]
+    rows = [(i, "http://h.example/" + str(i), p) for i, p in enumerate(first + second + odd + copies)]
+    found = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [found[i] for i in (0, 39, 40, 44, 45, 46, 75)] == ["story 0 goes on", "story 39 goes on", "tale 0 goes on", "tale 4 goes on", "error 500", "one copied text", "one copied text"]
