@@ -1,10 +1,12 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines, paragraphs and whole texts are compared with licence templates by the cosine of their
-TF-IDF vectors. Document frequencies of the templates' words are counted over all files; any
-other word weighs as one that a single file has. A segment can only reach the threshold if it
-has one of few key words of a template (what is left of the template without them is too
-short), so all others are passed over without loss.
+Lines, paragraphs, whole texts and windows of a template's length, laid so that a key word
+stands where the template has it, are compared with licence templates by the cosine of their
+TF-IDF vectors. Document frequencies are counted over all files for the templates' words and
+for the other words of all segments that could reach the threshold were these words in every
+file. A segment can only reach the threshold if it has one of few key words of a template (what
+is left of the template without them is too short), so all others are passed over without loss.
+Words of a licence's name that a template has must be in the segment too: other versions differ in them.
 
 A file that states no licence takes that of the nearest directory above it whose licence file
 states one: directories are joined with their ancestors, and files with their directory.
@@ -26,37 +28,105 @@ from seriesloom.session import cut_lineage
 THRESHOLD = 0.75
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([-._][^/]*)?$"
 # Public licence statements by SPDX name (the last is no licence of that list).
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software),"
+    " to deal in the Software without restriction"
+)
+_WARRANTY = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,"
+    " THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS"
+    " BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE"
+    " GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT"
+    " LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = (
+    _BSD + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"
+    " and/or other materials provided with the distribution."
+)
+_BSD_3 = (
+    _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this"
+    " software without specific prior written permission."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."
+    " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+)
+
+
+def _gnu(kind: str, version: str, dated: str, program: str = "This program") -> tuple[str, ...]:
+    """Statements of a GNU licence."""
+    return (
+        f"This work is licensed under the GNU {kind}General Public License, version {version}.",
+        f"{program} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License"
+        f" as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        f"GNU {kind}General Public License Version {version}, {dated}",
+    )
+
+
+def _creative_commons(short: str, words: str) -> tuple[str, ...]:
+    """Statements of a Creative Commons licence."""
+    return (
+        f"Licensed under CC {short} 4.0.",
+        f"This work is licensed under a Creative Commons {words} 4.0 International License.",
+        f"SPDX-License-Identifier: CC-{short}-4.0",
+    )
+
+
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."
-        " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        _APACHE,
+        _APACHE + " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS,"
+        " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions"
+        " and limitations under the License.",
+        "Apache License Version 2.0, January 2004",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-        " (the Software), to deal in the Software without restriction",
+        "MIT License",
+        "The MIT License (MIT)",
+        _MIT,
+        _MIT + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,"
+        " and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission"
+        " notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS"
+        " OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"
+        " AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,"
+        " OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
-        " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    "GPL-3.0": (*_gnu("", "3", "29 June 2007"), "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only"),
+    "GPL-2.0": (*_gnu("", "2", "June 1991"), "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-only"),
+    "LGPL-3.0": (*_gnu("Lesser ", "3", "29 June 2007", "This library"), "SPDX-License-Identifier: LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-3.0-only"),
+    "LGPL-2.1": (*_gnu("Lesser ", "2.1", "February 1999", "This library"), "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-only"),
+    "AGPL-3.0": (*_gnu("Affero ", "3", "19 November 2007"), "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "CC-BY-NC-4.0": _creative_commons("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-4.0": _creative_commons("BY", "Attribution"),
+    "CC-BY-SA-4.0": _creative_commons("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _creative_commons("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _creative_commons("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _creative_commons("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "BSD-2-Clause": (_BSD_2, _BSD_2 + _WARRANTY, "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": (_BSD, _BSD_3, _BSD_3 + _WARRANTY, "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
+    "ISC": (
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"
+        " copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "all-rights-reserved": ("All rights reserved.",),
 }
+#: A statement of this name only counts if no other is found: it stands beside licences too.
+WEAK = "all-rights-reserved"
+#: Templates with fewer words are titles, and looked for as lines or paragraphs only.
+LEAST_WINDOW = 3
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -70,17 +140,24 @@ class Templates:
     def __init__(self, templates: Mapping[str, tuple[str, ...]], idf: dict[str, float], unseen: float, threshold: float):
         self.idf, self.unseen, self.threshold = idf, unseen, threshold
         self.names, self.index = [], {}
+        self.lengths, self.required = [], []
+        self.places: dict[str, set[tuple[int, int]]] = {}  # of key words: offset in a template, its length
         keys = set()
         for name, statements in templates.items():
             for statement in statements:
-                weights = self.weights(words(statement))
+                parts = words(statement)
+                weights = self.weights(parts)
                 norm = math.sqrt(sum(w * w for w in weights.values()))
                 for w, x in weights.items():
                     self.index.setdefault(w, []).append((len(self.names), x / norm))
                 self.names.append(name)
+                self.lengths.append(len(parts))
+                self.required.append(frozenset(words(name)).intersection(weights))
                 rest = 1.0  # the squared length that is left without the heaviest words
                 for w, x in sorted(weights.items(), key=lambda i: (-i[1], i[0])):
                     keys.add(w)
+                    if len(parts) >= LEAST_WINDOW:
+                        self.places.setdefault(w, set()).update((i, len(parts)) for i, p in enumerate(parts) if p == w)
                     rest -= (x / norm) ** 2
                     if rest < threshold**2 * 0.999:
                         break
@@ -89,34 +166,60 @@ class Templates:
     def weights(self, found: list[str]) -> dict[str, float]:
         return {w: (1 + math.log(n)) * self.idf.get(w, self.unseen) for w, n in Counter(found).items()}
 
-    def score(self, found: list[str]) -> tuple[float, str | None]:
-        """The cosine to the nearest template and its name; ties to the last name."""
+    def scores(self, found: list[str]) -> list[tuple[float, int]]:
+        """The cosine to each template that shares a word and whose name's words are there, with its number."""
         weights = self.weights(found)
         sums: Counter = Counter()
         for w, x in weights.items():
             for k, y in self.index.get(w, ()):
                 sums[k] += x * y
         norm = math.sqrt(sum(x * x for x in weights.values()))
-        return max(((s / norm, self.names[k]) for k, s in sums.items()), default=(0.0, None))
+        return [(s / norm, k) for k, s in sums.items() if self.required[k] <= weights.keys()]
 
-    def best(self, text: str | None) -> tuple[float, str | None]:
-        """The best line, paragraph (lines up to a blank one) or whole text that reaches the threshold."""
+    def score(self, found: list[str]) -> tuple[float, str | None]:
+        """The cosine to the nearest template and its name; ties to the last name."""
+        return max(((s, self.names[k]) for s, k in self.scores(found)), default=(0.0, None))
+
+    def segments(self, text: str | None) -> Iterator[list[str]]:
+        """The lines, paragraphs (lines up to a blank one) and windows with a key word, and the whole text if it has one."""
         lines = [words(line) for line in (text or "").split("\n")]
         hits = [i for i, found in enumerate(lines) if not self.keys.isdisjoint(found)]
         if not hits:
-            return 0.0, None
-        scores = [self.score(lines[i]) for i in hits] + [self.score([w for found in lines for w in found])]
+            return
+        every = [w for found in lines for w in found]
+        spans = {(0, len(every))}
+        starts = [0]
+        for found in lines:
+            starts.append(starts[-1] + len(found))
         after = -1
         for i in hits:
+            spans.add((starts[i], starts[i + 1]))
             if i > after:
                 first, after = i, i
                 while first and lines[first - 1]:
                     first -= 1
                 while after + 1 < len(lines) and lines[after + 1]:
                     after += 1
-                scores.append(self.score([w for found in lines[first : after + 1] for w in found]))
-        found = max(scores, key=lambda x: x[0])
-        return found if found[0] >= self.threshold else (0.0, None)
+                spans.add((starts[first], starts[after + 1]))
+            for at in range(starts[i], starts[i + 1]):
+                for offset, length in self.places.get(every[at], ()):
+                    spans.add((max(0, at - offset), min(len(every), at - offset + length)))
+        for a, b in sorted(spans):
+            yield every[a:b]
+
+    def near(self, text: str | None) -> set[str]:
+        """The words outside the templates of all segments that reach the threshold."""
+        return {w for found in self.segments(text) for s, _ in [max(self.scores(found), default=(0.0, 0))] if s >= self.threshold for w in found if w not in self.index}
+
+    def best(self, text: str | None) -> tuple[float, str | None]:
+        """The cosine and name of the best segment that reaches the threshold.
+
+        A long template that is met nearly counts more than a short one that it contains: the
+        order is by cosine times the logarithm of the template's length.
+        """
+        found = {(s, k) for part in self.segments(text) for s, k in self.scores(part) if s >= self.threshold}
+        s, k = max(found, key=lambda x: (self.names[x[1]] != WEAK, x[0] * math.log1p(self.lengths[x[1]]), self.names[x[1]]), default=(0.0, -1))
+        return (s, self.names[k]) if k >= 0 else (0.0, None)
 
 
 def document_frequencies(files: DataFrame, text: str, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -157,6 +260,18 @@ def scan_licenses(
     vocabulary = {w for statements in templates.values() for s in statements for w in words(s)}
     counts, n = document_frequencies(files, text, vocabulary)
     idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
+    # Other words of segments that reach the threshold if these words weigh least, as if in every file.
+    hopeful = Templates(templates, idf, 1.0, threshold)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set().union(*(hopeful.near(t.as_py()) for t in batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    others_near = {r["word"] for r in files.select(F.col(text).cast("string")).mapInArrow(near, "word string").distinct().collect()}
+    if others_near:
+        counts, _ = document_frequencies(files, text, others_near)
+        idf |= {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1 for w in others_near}
     known = Templates(templates, idf, math.log((n + 1) / 2) + 1, threshold)
     others = [f for f in files.schema.fields if f.name not in (text, "license", "score", "origin", "directory")]
 

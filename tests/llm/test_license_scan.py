@@ -51,3 +51,26 @@ def test_messy(messy):
     files = messy.withColumn("path", F.concat_ws("/", "source", "lang"))
     found = scan_licenses(files).collect()
     assert len(found) == len(messy_rows()) and {r["row"] for r in found} == {"row"} and {r["license"] for r in found} == {None}
+
+
+def test_statements_inside_lines_and_near_versions(spark):
+    """Statements need no line of their own, and near versions are told apart."""
+    apache, bsd = TEMPLATES["Apache-2.0"][2], TEMPLATES["BSD-2-Clause"][1]
+    cases = {
+        "Copyright (c) 2020 Example Corp. All rights reserved.": "all-rights-reserved",
+        "Copyright 2019 Jane Doe. Released under the MIT License.": "MIT",
+        "MIT License": "MIT",
+        "Apache License Version 2.0, January 2004": "Apache-2.0",
+        "Copyright 2021 Someone Else " + apache: "Apache-2.0",
+        "Copyright 2018 Some Body. All rights reserved. " + bsd: "BSD-2-Clause",
+        "Copyright 2018 Some Body. All rights reserved. " + TEMPLATES["BSD-3-Clause"][2]: "BSD-3-Clause",
+        TEMPLATES["GPL-2.0"][1]: "GPL-2.0",
+        TEMPLATES["LGPL-2.1"][1]: "LGPL-2.1",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "SPDX-License-Identifier: EPL-2.0": None,
+        "Licensed under the Apache License, Version 1.1.": None,
+    }
+    rows = [(i, f"d{i}/a.py", f"{' '.join(prose(i, 40))} {t} {' '.join(prose(i + 99, 40))}" if len(t) > 60 else t) for i, t in enumerate(cases)]
+    rows += [(1000 + i, f"x{i}", " ".join(prose(i, 60))) for i in range(50)]
+    found = {r["doc_id"]: r["license"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert [found[i] for i in range(len(cases))] == list(cases.values())
