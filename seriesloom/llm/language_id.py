@@ -8,7 +8,7 @@ Texts are compressed as lower-case words: runs of other characters than letters
 blank, so digits, marks and markup have no say.
 
 The dictionaries are the model: ``dictionary_bytes`` per language, taken from a bounded sample
-of the labelled texts (``sample_texts`` per language, expected).
+of the different labelled texts (``sample_texts`` per language, those with the smallest hashes).
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.session import cut_lineage
+
 DICTIONARY_BYTES = 1 << 17
 SAMPLE_TEXTS = 400
 SNIPPET = 256
@@ -46,20 +48,20 @@ def train_dictionaries(
 ) -> dict[str, bytes]:
     """A dictionary per language found in ``labelled``; rows with a null text or language take no part.
 
-    Which texts are sampled depends on a hash of the text, so any order and partitioning of
-    the rows gives the same model. Each language gives the snippets with the smallest hashes
+    Each language gives the ``sample_texts`` different texts with the smallest hashes, or all
+    if it has fewer: copies have no say, and any order and partitioning of the rows gives the
+    same model. Each language gives the snippets with the smallest hashes
     of its sampled texts, up to ``dictionary_bytes``. The number of languages is checked.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+    languages = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
-    if not counts:
-        return {}
-    # Positive hashes below the share are a sample of ``sample_texts`` rows in expectation.
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_texts / n))))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 40)) / float(1 << 40)
-    sampled = rows.filter(chance < share[F.col("lang")])
+    # Different texts by their hashes; the limit by rank acts before the shuffle.
+    hashed = rows.withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    ranked = hashed.select("lang", "hash").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+    chosen = cut_lineage(ranked.filter(F.col("place") <= sample_texts).select("lang", "hash"))
+    sampled = hashed.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
     def snippets(frame: pd.DataFrame) -> pd.DataFrame:
         pieces = set()

@@ -35,3 +35,11 @@ def test_messy(spark, messy, nothing):
     assert {r["lang_pred"] for r in identify(messy, {}).collect()} == {UNKNOWN}
     assert identify(nothing, models).count() == 0
     assert words_only("Ab3c__D\n\té") == "ab c d é"
+
+
+def test_copies_leave_the_other_texts_in_the_sample(spark):
+    """A large group of copies in a small language counts as one text."""
+    copies = spark.range(20_000).selectExpr("'xx yy zz' AS text", "'xx' AS lang")
+    others = spark.range(50).selectExpr("concat('quel autre texte ', translate(id, '0123456789', 'abcdefghij')) AS text", "'xx' AS lang")
+    content = train_dictionaries(copies.unionByName(others), sample_texts=40)["xx"]
+    assert content.count(b"quel autre texte") >= 39
