@@ -5,9 +5,9 @@ of those (``sample`` values per kind, the smallest by hash) one probabilistic au
 kind is inferred: the values make a prefix tree with counts, and states whose frequencies are
 compatible by the Hoeffding bound, down to all their continuations, are merged (ALERGIA).
 
-Every run of credential characters in every text that no base span covers is a candidate. Its
-format likelihood under each automaton is held against a character-pair model of the
-candidates themselves; those that an automaton explains better by ``least_bits`` a character
+Every run of credential characters in every text, or what base spans leave of it, is a
+candidate. Its format likelihood under each automaton is held against a character-pair model
+counted over all different candidates; those that an automaton explains better by ``least_bits`` a character
 are found secrets of kind ``format``.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,11 +27,10 @@ from seriesloom.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE = 1000
-BACKGROUND = 20_000
 LONGEST = 256
 ALPHA = 0.05
 LEAST_BITS = 0.3
-SHORTEST = 16
+SHORTEST = 8
 #: Chance of a character that an automaton has not seen at a state, spread over all characters.
 SMOOTH = 1e-3
 SYMBOLS = 67
@@ -46,7 +45,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 def text_spans(text: str | None) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, value`` of base spans and free candidates, in code points, by start and kind.
 
-    A candidate has the kind ``format`` and overlaps no base span.
+    A candidate has the kind ``format``: a run, or the parts of it before, between and after base spans.
     """
     raw = (text or "").encode()
     found = [(m.start(), m.end(), 0, raw[m.start(2) : m.end(2)]) for m in _ASSIGN.finditer(raw.lower()) if m.end(2) - m.start(2) >= 8]
@@ -55,11 +54,15 @@ def text_spans(text: str | None) -> list[tuple[int, int, str, str]]:
     taken = sorted((a, b) for a, b, _, _ in found)
     k, reach = 0, 0
     for m in _CANDIDATE.finditer(raw):
-        while k < len(taken) and taken[k][0] < m.end():
+        at, end = max(m.start(), min(reach, m.end())), m.end()
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] - at >= SHORTEST:
+                found.append((at, taken[k][0], 3, raw[at : taken[k][0]]))
             reach = max(reach, taken[k][1])
+            at = max(at, min(reach, end))
             k += 1
-        if reach <= m.start():
-            found.append((m.start(), m.end(), 3, m[0]))
+        if end - at >= SHORTEST:
+            found.append((at, end, 3, raw[at:end]))
     found.sort(key=lambda x: (x[0], x[2]))
     if not text or text.isascii():
         return [(a, b, KINDS[k], v.decode()) for a, b, k, v in found]
@@ -154,22 +157,36 @@ def infer(words: list[str], alpha: float = ALPHA) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["state", "symbol", "next", "bits"])
 
 
-def word_bits(moves: dict[tuple[int, str], tuple[int, float]], word: str) -> float:
-    """The cost of a word; a character without a move costs the smoothing and leads to the start."""
-    state, bits, unseen = 0, 0.0, -math.log2(SMOOTH / SYMBOLS)
+def word_bits(moves: dict[tuple[int, str], tuple[int, float]], word: str, most: float = math.inf) -> float:
+    """The cost of a word, or part of it that is above ``most``; a character without a move costs the smoothing and leads to the start."""
+    state, bits, unseen = 0, 0.0, (0, -math.log2(SMOOTH / SYMBOLS))
     for c in word:
-        state, cost = moves.get((state, c), (0, unseen))
+        state, cost = moves.get((state, c), unseen)
         bits += cost
+        if bits > most:
+            break
     return bits
 
 
-def pair_bits(words: list[str]) -> dict[tuple[str, str], float]:
-    """Costs of each character after another, with one added to each count."""
-    counts: dict[str, Counter] = defaultdict(Counter)
+def pair_counts(words: list[str]) -> Counter:
+    """How often each character follows another, or the start."""
+    counts: Counter = Counter()
     for word in words:
-        for a, b in zip("\n" + word, word):
-            counts[a][b] += 1
-    return {(a, b): -math.log2((n + 1) / (row.total() + SYMBOLS)) for a, row in counts.items() for b, n in row.items()}
+        counts.update(zip("\n" + word, word))
+    return counts
+
+
+def pair_costs(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """Costs of each character after another, with one added to each count."""
+    totals: Counter = Counter()
+    for (a, _), n in counts.items():
+        totals[a] += n
+    return {(a, b): -math.log2((n + 1) / (totals[a] + SYMBOLS)) for (a, b), n in counts.items()}
+
+
+def pair_bits(words: list[str]) -> dict[tuple[str, str], float]:
+    """Costs of each character after another in some words."""
+    return pair_costs(pair_counts(words))
 
 
 def smallest_by_hash(values: DataFrame, n: int) -> DataFrame:
@@ -177,9 +194,10 @@ def smallest_by_hash(values: DataFrame, n: int) -> DataFrame:
     return values.groupBy("value").agg(F.min("kind").alias("kind")).orderBy(F.md5("value"), "value").limit(n)
 
 
-def learn_formats(spans: DataFrame, sample: int, background: int, alpha: float) -> tuple[dict[str, dict], dict]:
+def learn_formats(spans: DataFrame, sample: int, alpha: float) -> tuple[dict[str, dict], dict]:
     """The moves of the automaton of each base kind, and the costs of character pairs."""
-    every = spans.select(F.explode("spans").alias("s")).select("s.kind", "s.value").filter(F.length("value") <= LONGEST)
+    found = spans.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
+    every = found.filter(F.length("value") <= LONGEST)
     labelled = None
     for kind in KINDS[:3]:
         part = smallest_by_hash(every.filter(F.col("kind") == kind), sample)
@@ -191,12 +209,19 @@ def learn_formats(spans: DataFrame, sample: int, background: int, alpha: float)
     formats: dict[str, dict] = {}
     for r in labelled.groupBy("kind").applyInPandas(moves, "kind string, state long, symbol string, next long, bits double").collect():
         formats.setdefault(r["kind"], {})[(r["state"], r["symbol"])] = (r["next"], r["bits"])
-    usual = [r["value"] for r in smallest_by_hash(every.filter("kind = 'format'"), background).collect()]
-    return formats, pair_bits(usual)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            counts += pair_counts(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in counts], pa.string()), pa.array([p[1] for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["a", "b", "n"])
+
+    cells = found.filter("kind = 'format'").select("value").distinct().mapInArrow(pairs, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return formats, pair_costs({(r["a"], r["b"]): r["n"] for r in cells.collect()})
 
 
 def find_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_bits: float = LEAST_BITS, sample: int = SAMPLE, background: int = BACKGROUND, alpha: float = ALPHA
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_bits: float = LEAST_BITS, sample: int = SAMPLE, alpha: float = ALPHA
 ) -> DataFrame:
     """``doc_id, spans`` for every row of ``docs``, spans with kind, start, end, value and score.
 
@@ -218,7 +243,7 @@ def find_secrets(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], ["doc_id", "spans"])
 
     spans = cut_lineage(rows.mapInArrow(extract, f"doc_id {kind}, spans {SPANS}"))
-    formats, pairs = learn_formats(spans, sample, background, alpha)
+    formats, pairs = learn_formats(spans, sample, alpha)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = math.log2(SYMBOLS)
@@ -228,8 +253,10 @@ def find_secrets(
                 kept = []
                 for s in found:
                     v = s["value"]
-                    usual = sum(pairs.get(p, rare) for p in zip("\n" + v, v))
-                    bits = min((word_bits(moves, v) for moves in formats.values()), default=usual)
+                    usual = sum([pairs.get(p, rare) for p in zip("\n" + v, v)])
+                    # A free candidate that costs more than this is not kept, whatever its score.
+                    most = usual - least_bits * len(v) + 1e-6 if s["kind"] == KINDS[3] else math.inf
+                    bits = min((word_bits(moves, v, most) for moves in formats.values()), default=usual)
                     s["score"] = (usual - bits) / len(v)
                     if s["kind"] != KINDS[3] or s["score"] >= least_bits:
                         kept.append(s)

@@ -3,7 +3,7 @@ import re
 
 from frames import messy_rows
 
-from seriesloom.llm.secret_scan import KINDS, Automaton, find_secrets, infer, pair_bits, text_spans, word_bits
+from seriesloom.llm.secret_scan import KINDS, Automaton, find_secrets, infer, learn_formats, pair_bits, text_spans, word_bits
 
 ASSIGN = re.compile(r"""(?:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
@@ -50,3 +50,20 @@ def test_the_method_adds_spans(spark, messy, nothing):
     assert len(rows) == len(messy_rows())
     assert sum(s["kind"] == "assign" for r in rows for s in r["spans"]) == sum(len(base(t)) for _, t, *_ in messy_rows())
     assert find_secrets(nothing).count() == 0
+
+
+def test_parts_and_short_runs_are_candidates():
+    left, right = "sessionid=eyJhbGciOiabc", "qwertyuiop12"
+    assert [x[:3] for x in text_spans(f"{left}token=abcdefgh")] == [(0, len(left), "format"), (len(left), len(left) + 14, "assign")]
+    key = "0123456789abcdef" * 2
+    assert [x[3] for x in text_spans(f"{left}/XYZ{key}Z{right}")] == [f"{left}/XYZ", key, f"Z{right}"]
+    assert [x[:3] for x in text_spans("a 1b2c3d4e 1b2c3d4")] == [(2, 10, "format")]
+
+
+def test_pairs_of_all_candidates(spark):
+    """The background counts every different candidate, long ones and any number of them."""
+    values = [f"cand{i:08d}x" for i in range(21_000)] + ["long" * 100]
+    rows = [([("format", 0, len(v), v)],) for v in values + values[:50]]
+    spans = spark.createDataFrame(rows, "spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    _, pairs = learn_formats(spans, sample=10, alpha=0.05)
+    assert pairs == pair_bits(values)
