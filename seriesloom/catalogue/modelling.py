@@ -199,24 +199,24 @@ def forest_forecast(spark, d):
 
 @query()
 def boosted_forecast(spark, d):
-    """A boosted model of all series, unrolled 30 days. Forty rounds; the model's own default is a hundred."""
+    """A boosted model of all series, unrolled 30 days."""
     t = daily_by_priority(spark, d)
-    model, scales = trees.fit_trees(t, kind="xgb", maxIter=40, **DAYS)
+    model, scales = trees.fit_trees(t, kind="xgb", **DAYS)
     return trees.forecast_trees(model, scales, t, name="XGB", **DAYS)
 
 
 @query()
 def split_predictions(spark, d):
-    """One-step predictions of the test part, its features made from the test part alone. Twenty rounds."""
+    """One-step predictions of the test part, its features made from the test part alone."""
     t = split.chrono_split(daily_by_priority(spark, d), ts="ts", keys=PRIORITY, grain="bin")
-    model, scales = trees.fit_trees(t.where("split = 'train'").drop("split"), kind="xgb", maxIter=20, **DAYS)
+    model, scales = trees.fit_trees(t.where("split = 'train'").drop("split"), kind="xgb", **DAYS)
     return trees.predict_split(model, scales, t, **DAYS)
 
 
 @query()
 def grid_search(spark, d):
-    """A small forest grid over five expanding folds."""
-    return trees.grid_search(daily_by_priority(spark, d), grid={"numTrees": (20,), "maxDepth": (3, 5)}, **DAYS)
+    """The forest grid over five expanding folds."""
+    return trees.grid_search(daily_by_priority(spark, d), **DAYS)
 
 
 @query(RECURSION)
