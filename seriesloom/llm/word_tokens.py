@@ -14,9 +14,11 @@ VOCABULARY = "word_bpe_49k"
 KEPT_BYTES = 96 << 20
 SEGMENT_BYTES = 1 << 20
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: Letters that are whole characters in any normal form, with one lower case; marks that end a word.
+#: Letters that are whole characters in any normal form, with one lower case. Marks beside them
+#: are words of their own, but an apostrophe may belong to a word and "<|" open a special token.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-_PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?]*)")
+MARKS = re.escape("!\"#$%&()*+,-./:;=>?@[]^_`{|}~\\")
+_PLAIN = re.compile(f"([{MARKS}]*)([{LETTERS}]*)([{MARKS}]*)")
 
 
 def vocabulary_size(vocabulary: str | None = None) -> int:
@@ -71,9 +73,8 @@ class WordEncoder:
     def _encoded(self, word: str) -> list[int]:
         """The ids of a word; plain letters and marks need merges alone, all else the whole library."""
         if plain := _PLAIN.fullmatch(word.lower()):
-            letters, marks = plain.groups()
             merge = self._tokenizer.model.tokenize
-            return [t.id for t in merge(letters.translate(self._letters)) + (merge(marks) if marks else [])]
+            return [t.id for part in plain.groups() if part for t in merge(part.translate(self._letters))]
         return self._tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
@@ -89,7 +90,8 @@ class WordEncoder:
         """The ids of all ``texts``, after a text with ``ends`` the end id, and how many each has."""
         if self._bytes > KEPT_BYTES:
             self._forget()
-        split = [t.split() + [b""] if e else t.split() for t, e in zip(texts, ends)]
+        lower = [t.lower() if t.isascii() and b"<|" not in t else t for t in texts]
+        split = [t.split() + [b""] if e else t.split() for t, e in zip(lower, ends)]
         words = list(chain.from_iterable(split))
         numbers = np.fromiter(map(self._number.get, words, repeat(-1)), np.int64, len(words))
         if len(unknown := np.flatnonzero(numbers < 0)):

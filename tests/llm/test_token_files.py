@@ -40,6 +40,8 @@ def test_words_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     marks = [c for c in points if unicodedata.combining(c)] + list(" \n\x0b\x1c\u0085  ΑΣ'sIİ<|>한ᄒ") * 40
     texts += ["".join(rng.choices(marks, k=300)) for _ in range(200)]
+    texts += ["".join(rng.choices("aAé'<|>.,!-_(/\\\"9 ", k=200)) for _ in range(200)]
+    texts += [c + m for c in "IiJjKAÅeHwWS" for m in marks]
     texts += ["", " ", "a<|endoftext|>b <|startoftext|> <|end oftext|>", "it's 'S we'll", "x" * 5000]
     ids, lengths = encode([t.encode() for t in texts], [True] * len(texts))
     edges = np.cumsum(lengths)
