@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import MODEL_CALENDAR, model_calendar
+from seriesloom.models.compiled import compile_trees
+from seriesloom.models.forests import Forest, bin_edges, binned, grow_and_predict
 from seriesloom.models.leastsq import feature_names, lag_names, model_features
 from seriesloom.operators.lags import last_values
 from seriesloom.operators.ordering import join_on_keys, with_position
 from seriesloom.operators.split import fold_roles
 from seriesloom.operators.timeaxis import dates_after
-from seriesloom.session import keep_facts
+from seriesloom.session import cut_lineage
 
 SEED = 42
 
@@ -91,30 +93,24 @@ def fit_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind:
 
 def forecast_trees(
     model, scales: DataFrame, history: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), steps: int = 30, freq: str = "D",
-    n_lags: int = 12, calendar: bool = True, name: str = "RF", cut_every: int = 5,
+    n_lags: int = 12, calendar: bool = True, name: str = "RF",
 ) -> DataFrame:
-    """Recursive forecast of all series together, one batch per step.
+    """Recursive forecast of all series in one pass.
 
-    The frame holds one row per series: its scaled last values and the path so far. Every
-    ``cut_every`` steps it is written to the checkpoint folder, so the plan stays short.
+    The frame holds one row per series: its scaled last values, newest first, and the calendar
+    inputs of all steps. A batch of series runs through the compiled trees step by step, each
+    prediction the first lag of the next step.
     """
     tail = join_on_keys(last_values(history, ts=ts, y=y, keys=keys, grain="bin", n=n_lags), scales, keys).where(F.size("last_values") == n_lags)
     recent = F.reverse(F.transform("last_values", lambda v: (v - F.col("_mu")) / F.col("_sd")))
     last = F.to_date("last_ts") if freq != "H" else F.col("last_ts")
-    state = tail.select(*keys, "_mu", "_sd", recent.alias("_path"), dates_after(last, steps, freq).alias("_dates"))
-    state = keep_facts(state)
-    assembler = VectorAssembler(inputCols=feature_names(n_lags, calendar), outputCol="features")
-    for k in range(1, steps + 1):
-        inputs = {c: F.get("_path", F.lit(i)) for i, c in enumerate(lag_names(n_lags))}
-        if calendar:
-            inputs |= model_calendar(F.get("_dates", F.lit(k - 1)))
-        guessed = model.transform(assembler.transform(state.withColumns(inputs)))
-        state = guessed.select(*keys, "_mu", "_sd", F.concat(F.array("prediction"), "_path").alias("_path"), "_dates")
-        if k % cut_every == 0 and k < steps:
-            state = keep_facts(state)
-    path = F.transform(F.reverse(F.slice("_path", 1, steps)), lambda v: v * F.col("_sd") + F.col("_mu"))
+    state = tail.select(*keys, "_mu", "_sd", recent.alias("_recent"), dates_after(last, steps, freq).alias("_dates"))
+    inputs = feature_names(n_lags, calendar)
+    given = F.flatten(F.transform("_dates", lambda d: F.array(*[model_calendar(d)[c].cast("double") for c in inputs[n_lags:]]))) if calendar else F.array().cast("array<double>")
+    paths = compile_trees(model, state.sparkSession).recursive(state.withColumn("_given", given), "_recent", "_given", steps)
+    path = F.transform("_path", lambda v: v * F.col("_sd") + F.col("_mu"))
     pairs = F.arrays_zip(F.col("_dates").alias("date"), path.alias("forecast"))
-    return state.select(*keys, F.posexplode(pairs).alias("_i", "_p")).select(
+    return paths.select(*keys, F.posexplode(pairs).alias("_i", "_p")).select(
         *keys, F.lit(name).alias("model"), (F.col("_i") + 1).alias("step"), F.col("_p.date").alias("date"), F.col("_p.forecast").alias("forecast"))
 
 
@@ -140,36 +136,99 @@ def grid_search(
     """Mean squared error of every grid point over expanding-window folds, best first.
 
     Folds are cut per series in time order, so no fold trains on rows later than its test
-    block, and each fold's scale comes from its training rows. ``width`` grid points are
-    fitted at a time. Columns: the parameters as JSON, ``neg_mse`` and ``rank``.
+    block, and each fold's scale comes from its training rows. Points that differ only in the
+    depth or the number of trees share one forest per fold, grown to the largest
+    (:mod:`seriesloom.models.forests`); points that differ in the boosting rounds share one
+    boosted model. ``width`` fits run at a time. Columns: the parameters as JSON, ``neg_mse``
+    and ``rank``.
     """
     grid = grid or {"rf": FOREST_GRID, "gb": BOOSTED_GRID, "xgb": SUBSAMPLED_GRID}[kind]
-    build = forest if kind == "rf" else boosted
+    unknown = set(grid) - set(FOREST_GRID)
+    if kind == "rf" and unknown:
+        raise ValueError(f"a forest is searched over {sorted(FOREST_GRID)}, not {sorted(unknown)}")
+    names = feature_names(n_lags, calendar)
     rows = model_features(df, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar)
     placed = with_position(rows, ts=ts, keys=keys, grain="bin", position="_t", size="_n")
     folds = fold_roles(placed, position="_t", size="_n", n_splits=n_splits)
     scales = series_scales(folds.where("role = 'train'"), y=y, keys=[*keys, "fold"])
     folds = on_scale(join_on_keys(folds, scales, [*keys, "fold"]), y=y, n_lags=n_lags, calendar=calendar)
-    folds = folds.select("fold", "role", "features", "_label", "_sd").persist()
-
-    def error_of(point: tuple) -> tuple[str, float | None]:
-        params, errors = dict(zip(grid, point)), []
-        for fold in range(1, n_splits + 1):
-            part = folds.where(F.col("fold") == fold)
-            if part.where("role = 'train'").isEmpty():
-                continue
-            scored = build(**params).fit(part.where("role = 'train'")).transform(part.where("role = 'test'"))
-            gap = (F.col("prediction") - F.col("_label")) * F.col("_sd")
-            errors.append(scored.agg(F.avg(gap * gap)).first()[0])  # one number per fit
-        usable = [e for e in errors if e is not None]
-        return json.dumps(params), -sum(usable) / len(usable) if usable else None
+    folds = folds.withColumns({"row": F.xxhash64(*keys, ts), "train": F.col("role") == "train"})
+    if kind == "rf":
+        edges = bin_edges(folds.where("train"), names, ["fold"])
+        folds = binned(folds, names, edges, ["fold"]).select("fold", "row", "bins", F.col("_label").alias("y"), "train", "_sd")
+    else:
+        folds = folds.select("fold", "row", "features", "_label", "train", "_sd")
+    folds = cut_lineage(folds)  # read by every fit
+    errors = (_forest_errors if kind == "rf" else _boosted_errors)(folds, grid, n_splits, width, names)
 
-    try:
-        with ThreadPoolExecutor(width) as pool:
-            results = list(pool.map(error_of, product(*grid.values())))
-    finally:
-        folds.unpersist()
+    def mean(point: dict) -> float | None:
+        usable = [e for e in errors[json.dumps(point)] if e is not None]
+        return -sum(usable) / len(usable) if usable else None
+
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    results = [(json.dumps(point), mean(point)) for point in points]
     table = df.sparkSession.createDataFrame(results, "params string, neg_mse double")  # one row per grid point
     order = F.struct(F.col("neg_mse").isNull(), -F.col("neg_mse"), F.col("params"))
     ranked = table.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "params", "neg_mse"))).alias("_r"))
     return ranked.select(F.posexplode("_r").alias("_i", "_p")).select((F.col("_i") + 1).alias("rank"), "_p.params", "_p.neg_mse")
+
+
+def _fits(groups: dict[str, list[dict]], n_splits: int, width: int, fit) -> dict[str, list]:
+    """Errors per point from ``fit(points, fold)``, one fit per group of points and fold."""
+    asked = [(points, fold) for points in groups.values() for fold in range(1, n_splits + 1)]
+    with ThreadPoolExecutor(width) as pool:
+        found = list(pool.map(lambda one: fit(*one), asked))
+    errors: dict[str, list] = {}
+    for (points, _), values in zip(asked, found):
+        for point, value in zip(points, values):
+            errors.setdefault(json.dumps(point), []).append(value)
+    return errors
+
+
+def _grouped(grid: dict[str, Sequence], nested: Sequence[str]) -> dict[str, list[dict]]:
+    """Grid points by the parameters that need a fit of their own."""
+    groups: dict[str, list[dict]] = {}
+    for values in product(*grid.values()):
+        point = dict(zip(grid, values))
+        groups.setdefault(json.dumps({k: v for k, v in point.items() if k not in nested}), []).append(point)
+    return groups
+
+
+def _forest_errors(folds: DataFrame, grid: dict[str, Sequence], n_splits: int, width: int, names: Sequence[str]) -> dict[str, list]:
+    def size(point: dict) -> tuple[int, int, int]:
+        return point.get("maxDepth", 5), point.get("numTrees", 100), point.get("minInstancesPerNode", 1)
+
+    def fit(points: list[dict], fold: int) -> list[float | None]:
+        part = folds.where(F.col("fold") == fold)
+        depths, counts, least = (sorted({size(p)[k] for p in points}) for k in range(3))
+        found = grow_and_predict(part, Forest(counts[-1], tuple(depths), len(names), SEED), least[0], counts)
+        test = part.where("NOT train").select("row", F.col("y").alias("_label"), "_sd")
+        gaps = {f"{d}_{t}": (F.col(f"d{d}_t{t}") - F.col("_label")) * F.col("_sd") for d in depths for t in counts}
+        scored = test.join(found, "row").agg(*[F.avg(g * g).alias(n) for n, g in gaps.items()]).first()
+        return [scored[f"{size(p)[0]}_{size(p)[1]}"] for p in points]
+
+    return _fits(_grouped(grid, ("numTrees", "maxDepth")), n_splits, width, fit)
+
+
+def _boosted_errors(folds: DataFrame, grid: dict[str, Sequence], n_splits: int, width: int, names: Sequence[str]) -> dict[str, list]:
+    def fit(points: list[dict], fold: int) -> list[float | None]:
+        part = folds.where(F.col("fold") == fold)
+        train = part.where("train")
+        if train.isEmpty():
+            return [None] * len(points)
+        rounds = sorted({p.get("maxIter", 100) for p in points})
+        compiled = compile_trees(boosted(**(points[0] | {"maxIter": rounds[-1]})).fit(train), part.sparkSession)
+        found = compiled.staged(part.where("NOT train"), "features", rounds, ["_label", "_sd"])
+        gaps = [(F.col("staged")[k] - F.col("_label")) * F.col("_sd") for k in range(len(rounds))]
+        scored = found.agg(*[F.avg(g * g) for g in gaps]).first()
+        return [scored[rounds.index(p.get("maxIter", 100))] for p in points]
+
+    return _fits(_grouped(grid, ("maxIter",)), n_splits, width, fit)
+
+
+def best_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind: str = "rf", n_lags: int = 12, calendar: bool = True, **search):
+    """The model of the best grid point, fitted to all rows: model, scales, its parameters."""
+    ranked = grid_search(df, ts=ts, y=y, keys=keys, kind=kind, n_lags=n_lags, calendar=calendar, **search)
+    params = json.loads(ranked.where("rank = 1").first()["params"])
+    model, scales = fit_trees(df, ts=ts, y=y, keys=keys, kind=kind, n_lags=n_lags, calendar=calendar, **params)
+    return model, scales, params

@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from compare import compare  # noqa: E402
 from seriesloom.catalogue import QUERIES  # noqa: E402
 
-SLOW = ("forest_forecast", "boosted_forecast", "split_predictions", "grid_search", "forecast_scores")
+SLOW = ("boosted_forecast", "split_predictions", "forecast_scores")
 
 
 @pytest.fixture(scope="session")
