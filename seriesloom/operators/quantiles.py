@@ -16,17 +16,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.ordering import join_facts, series_window
-from seriesloom.session import keep_facts
+from seriesloom.session import cut_lineage, keep_facts
 
 SKETCH = 1000  # the sketch is off by at most one part in so many
 MARGIN = 3  # half a bracket's width in such parts
+FEW_CELLS = 1_000_000
 
 
 def running_counts(counted: DataFrame, *, keys: Sequence[str], value: str, count: str) -> DataFrame:
-    """Add ``_upto`` (rows of the series up to and with this value) and ``_n`` (all rows)."""
+    """Add ``_upto`` (rows of the series up to and with this value) and ``_n`` (all rows).
+
+    Up to ``FEW_CELLS`` values, counted in the written table, one window per series is enough;
+    more are placed by range, so that a series may have any number of values.
+    """
+    counted = cut_lineage(counted)
+    if counted.count() <= FEW_CELLS:
+        upto = series_window(keys, [value]).rowsBetween(Window.unboundedPreceding, 0)
+        return counted.withColumns({"_upto": F.sum(count).over(upto), "_n": F.sum(count).over(Window.partitionBy(*keys))})
     by = [*keys, value]
     placed = counted.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id())
-    placed = keep_facts(placed)  # slice numbers are read twice below
+    placed = cut_lineage(placed)  # slice numbers are read twice below
     slices = placed.groupBy(*keys, "_slice").agg(F.sum(count).alias("_rows"))
     earlier = series_window(keys, ["_slice"]).rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(
@@ -63,12 +72,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per series, column and q: ``column``, ``q``, ``quantile`` of the known values."""
     group = [*keys, "column"]
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "_v")
-    long = long.where("_v is not null")
     if grain == "bin":
-        counted = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        return quantiles_of_counts(counted, keys=group, value="_v", count="_c", qs=qs, grain=grain)
+        exact = [F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(q)) for q in qs])) for c in columns]
+        spots = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(q)).alias("q"), e[j].alias("quantile")) for c, e in zip(columns, exact) for j, q in enumerate(qs)])
+        return df.groupBy(*keys).agg(spots.alias("_s")).select(*keys, F.explode("_s").alias("_s")).select(*keys, "_s.*").where("quantile is not null")
 
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "_v")
+    long = long.where("_v is not null")
     wanted = sorted(set(float(q) for q in qs))
     spread = [min(1.0, max(0.0, q + side * MARGIN / SKETCH)) for q in wanted for side in (-1, 1)]
     sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in spread]), SKETCH)

@@ -107,3 +107,22 @@ def test_shuffle_partitions_do_not_matter(spark, rows):
         seen.append(timeaxis.regularise(rows, ts="ts", y="y", keys=["k"], tie=["id"]).toPandas().sort_values(["k", "ts", "y"]).reset_index(drop=True))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     pd.testing.assert_frame_equal(seen[0], seen[1])
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_quantiles_by_range_and_by_window(spark, monkeypatch, few):
+    """Counts that are placed by range and counts in one window give the same, exact quantiles."""
+    import numpy as np
+
+    from seriesloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW_CELLS", few)
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=5000), "b": rng.integers(0, 4, 3000).astype(float), None: np.array([7.0])}
+    rows = [(k, float(v), None if i % 3 else float(v)) for k, vs in values.items() for i, v in enumerate(vs)]
+    frame = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    found = {(r["k"], r["column"], r["q"]): r["quantile"] for r in quantiles.exact_quantiles(frame, ["v", "w"], keys=["k"], qs=(0.0, 0.1, 0.5, 0.999, 1.0)).collect()}
+    expected = {(k, c, q): np.quantile(vs[:: 3 if c == "w" else 1], q) for k, vs in values.items() for c in "vw" for q in (0.0, 0.1, 0.5, 0.999, 1.0)}
+    assert found.keys() == expected.keys() and all(np.isclose(found[k], expected[k]) for k in found)
+    packed = {(r["k"], r["column"], r["q"]): r["quantile"] for r in quantiles.exact_quantiles(frame, ["v", "w"], keys=["k"], qs=(0.1, 0.5), grain="bin").collect()}
+    assert packed.keys() == {k for k in expected if k[2] in (0.1, 0.5)} and all(np.isclose(packed[k], expected[k]) for k in packed)
