@@ -181,3 +181,10 @@ def model_feature_rows(spark, d):
 def grain_span(spark, d):
     return daily_by_priority(spark, d).groupBy(*PRIORITY).agg(
         iso_day(F.min("ts")).alias("first_day"), iso_day(F.max("ts")).alias("last_day"), F.count(F.lit(1)).alias("bins"))
+
+
+@query("""SELECT CAST(i AS INTEGER) AS step, CAST(max(o_orderdate) AS DATE) + CAST(i AS INTEGER) AS date FROM orders, generate_series(1, 30) AS g(i) GROUP BY i""")
+def future_dates_from_day(spark, d):
+    """Thirty days after the day of the newest order."""
+    newest = orders(spark, d).agg(F.max("ts").cast("string")).first()[0]
+    return axis.future_dates_from(spark, newest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from seriesloom.catalogue.base import DAILY_BY, PRIORITY, daily_by_priority, orders, query, r, rounded, scratch
@@ -9,8 +11,8 @@ from seriesloom.catalogue.scoring import BACKTEST, METRICS, SCORES, STEPS, backt
 from seriesloom.operators import metrics as score
 from seriesloom.operators.frames import resolve_forecast
 from seriesloom.operators.split import chrono_split
-from seriesloom.operators.validate import validate
-from seriesloom.sources import sinks, tables
+from seriesloom.operators.validate import has_columns, validate
+from seriesloom.sources import config, sinks, tables
 
 ORDER_CSV = "o_orderkey bigint, o_orderdate timestamp_ntz, o_orderpriority string, o_totalprice double"
 
@@ -69,6 +71,36 @@ def metrics_json_sink(spark, d):
     return tidy(back)
 
 
+@query(f"""WITH {BACKTEST} SELECT o_orderpriority, model, {METRICS} FROM pairs GROUP BY 1, 2""")
+def metrics_table_sink(spark, d):
+    """The score table as Parquet."""
+    _, test, made = backtest(spark, d)
+    back = spark.read.parquet(sinks.write_metrics(score.evaluate_models(test, made, keys=PRIORITY, steps=STEPS), scratch(spark)))
+    return tidy(back.select("o_orderpriority", "model", "mae", "mse", "rmse"))
+
+
+@query("""SELECT 'ORDERS' AS dataset_name, 'custom' AS dataset_type, min(o_orderpriority) AS date_col, max(o_orderstatus) AS target_col FROM orders""")
+def settings_precedence(spark, d):
+    """The run's settings go before the column file, which fills what they leave blank."""
+    names = tables.read_table(spark, d, "orders").agg(
+        F.min("o_orderpriority").alias("a"), F.max("o_orderpriority").alias("b"), F.max("o_orderstatus").alias("c")).first()
+    folder = f"{scratch(spark)}/orders_run"
+    config.write_config(spark, {"date_col": names["a"], "target_col": ""}, f"{folder}/config.json")
+    config.write_config(spark, {"date_col": names["b"], "target_col": names["c"]}, f"{folder}/column_info.json")
+    return config.dataset_info(spark, folder)
+
+
+@query("""SELECT 'orders' AS name, (SELECT count(*) FROM (DESCRIBE orders) WHERE column_name IN ('o_orderdate', 'o_totalprice')) = 2 AS complete, count(*) AS "rows" FROM orders
+UNION ALL SELECT 'customer', (SELECT count(*) FROM (DESCRIBE customer) WHERE column_name IN ('c_custkey', 'o_totalprice')) = 2, count(*) FROM customer
+UNION ALL SELECT 'events', (SELECT count(*) FROM (DESCRIBE events) WHERE column_name IN ('ts', 'value')) = 2, count(*) FROM events""")
+def required_columns(spark, d):
+    """Whether tables have the columns that a step needs."""
+    wanted = {"orders": ("o_orderdate", "o_totalprice"), "customer": ("c_custkey", "o_totalprice"), "events": ("ts", "value")}
+    found = [(name, tables.read_table(spark, d, name)) for name in wanted]
+    parts = [t.agg(F.lit(name).alias("name"), F.lit(has_columns(t, wanted[name])).alias("complete"), F.count(F.lit(1)).alias("rows")) for name, t in found]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query(f"""WITH {SCORES} SELECT o_orderpriority, model AS "Model", round(rmse, 2) AS "RMSE", round(mae, 2) AS "MAE" FROM scores""")
 def metrics_file_repair(spark, d):
     """A score table under other names: lower-case metrics behind a column of model names."""

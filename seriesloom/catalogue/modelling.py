@@ -119,14 +119,39 @@ def holt_fixed(spark, d):
     return rounded(smoothing.forecast_smoothing(out, keys=SEGMENT, steps=12, freq="M", trend="add"), "forecast", digits=2)
 
 
-@query()
+def searched(trend: str, seasonal: str) -> str:
+    """The whole weight grid as a recursion over the months; the least squared error forecasts."""
+    times = {"add": ("-", "+"), "mul": ("/", "*")}
+    off, on = times[seasonal]
+    base = "level + slope" if trend == "add" else "level * slope"
+    start = "(ahead - level0) / 12" if trend == "add" else "(ahead / level0) ** (1 / 12::DOUBLE)"
+    step = "newer - level" if trend == "add" else "newer / level"
+    ahead = "level + i * slope" if trend == "add" else "level * slope ** i"
+    grid = ", ".join(f"{w}::DOUBLE" for w in smoothing.WEIGHT_GRID)
+    return f"""WITH RECURSIVE {MONTHLY_BY},
+s AS (SELECT c_mktsegment, list(y ORDER BY ts) AS l, count(*) AS n, max(ts) AS last_ts FROM monthly GROUP BY 1),
+i0 AS (SELECT *, list_avg(l[1:12]) AS level0, list_avg(l[13:least(24, n)]) AS ahead FROM s WHERE n >= 24),
+w AS (SELECT unnest([{grid}]) AS w),
+z AS (SELECT c_mktsegment, a.w AS alpha, b.w AS beta, c.w AS gamma, 12 AS t, level0 AS level, {start} AS slope,
+    list_transform(l[1:12], lambda v: v {off} level0) AS seasons, 0.0::DOUBLE AS sse FROM i0, w a, w b, w c
+  UNION ALL SELECT c_mktsegment, alpha, beta, gamma, t + 1, newer, beta * ({step}) + (1 - beta) * slope,
+    list_transform(range(12), lambda k: CASE WHEN k = t % 12 THEN gamma * (y {off} newer) + (1 - gamma) * season ELSE seasons[k + 1] END), sse + (y - guess) ** 2
+  FROM (SELECT z.*, s.l[t + 1] AS y, seasons[t % 12 + 1] AS season, {base} AS base, base {on} season AS guess, alpha * (y {off} season) + (1 - alpha) * base AS newer
+    FROM z JOIN s USING (c_mktsegment) WHERE t < n)),
+best AS (SELECT z.*, n, last_ts FROM z JOIN s USING (c_mktsegment) WHERE t = n AND isfinite(sse)
+  QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY sse, alpha, beta, gamma) = 1)
+SELECT c_mktsegment, 'ETS_{trend}_{seasonal}_12' AS model, CAST(i AS INTEGER) AS step, last_day(last_ts + to_months(CAST(i AS INTEGER))) AS date,
+round(({ahead}) {on} seasons[(n + i - 1) % 12 + 1], 2) AS forecast FROM best, generate_series(1, 12) AS g(i)"""
+
+
+@query(searched("add", "add"))
 def ets_search(spark, d):
     """Weights of an additive trend and season of twelve months, searched on the grid."""
     out = smoothing.fit_smoothing(segment_monthly(spark, d), trend="add", seasonal="add", period=12, **MONTHS)
     return rounded(smoothing.forecast_smoothing(out, keys=SEGMENT, steps=12, freq="M", trend="add", seasonal="add", period=12), "forecast", digits=2)
 
 
-@query()
+@query(searched("mul", "mul"))
 def ets_multiplicative(spark, d):
     out = smoothing.fit_smoothing(segment_monthly(spark, d), trend="mul", seasonal="mul", period=12, **MONTHS)
     return rounded(smoothing.forecast_smoothing(out, keys=SEGMENT, steps=12, freq="M", trend="mul", seasonal="mul", period=12), "forecast", digits=2)
@@ -138,6 +163,54 @@ def ets_variants(spark, d):
     return smoothing.choose_variants(t, adf(t, **MONTHS), keys=SEGMENT)
 
 
+@query(f"""WITH {MONTHLY_BY}, x AS (SELECT c_mktsegment, y - lag(y) OVER w AS dy, lag(y) OVER w AS b FROM monthly WINDOW w AS (PARTITION BY c_mktsegment ORDER BY ts)),
+f AS (SELECT c_mktsegment, count(*) AS n_rows, regr_slope(dy, b) AS beta, regr_sxx(dy, b) AS sxx, regr_syy(dy, b) AS syy, regr_count(dy, b) AS n FROM x GROUP BY 1),
+v AS (SELECT c_mktsegment, n_rows, beta / sqrt((syy - beta * beta * sxx) / (n - 2) / sxx) < -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3 AS stationary FROM f),
+p AS (SELECT *, unnest(CASE WHEN stationary THEN [0] WHEN n_rows > 24 THEN [1, 2] ELSE [1] END) AS k FROM v)
+SELECT c_mktsegment, n_rows, stationary, CASE WHEN k > 0 THEN 'add' END AS trend, CASE WHEN k = 2 THEN 'add' END AS seasonal, CAST(CASE WHEN k = 2 THEN 12 END AS INTEGER) AS period FROM p""")
+def ets_variants_lag_zero(spark, d):
+    """Smoothing variants by the unit-root statistic without lagged differences and its 5 % limit."""
+    t = segment_monthly(spark, d)
+    verdict = adf(t, max_lag=0, **MONTHS).withColumn("stationary", F.col("statistic") < F.col("crit_5"))
+    return smoothing.choose_variants(t, verdict, keys=SEGMENT)
+
+
+@query(f"""WITH {DAILY_BY}, w AS (SELECT o_orderpriority, ts, y - lag(y) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS w FROM daily),
+x AS (SELECT o_orderpriority, w, lag(w) OVER o AS b, lag(w, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY o_orderpriority ORDER BY ts)),
+g AS (SELECT o_orderpriority, count(*) AS n, sum(w * w) AS ww, sum(b * b) AS bb, sum(c * c) AS cc, sum(b * c) AS bc, sum(w * b) AS wb, sum(w * c) AS wc FROM x WHERE c IS NOT NULL GROUP BY 1),
+f AS (SELECT o_orderpriority, n, 0 AS p, ww AS sse FROM g UNION ALL SELECT o_orderpriority, n, 1, ww - wb * wb / bb FROM g
+  UNION ALL SELECT o_orderpriority, n, 2, ww - ((wb * cc - wc * bc) * wb + (wc * bb - wb * bc) * wc) / (bb * cc - bc * bc) FROM g)
+SELECT o_orderpriority, CAST(p AS INTEGER) AS p, CAST(1 AS INTEGER) AS d, CAST(0 AS INTEGER) AS q, n, round(n * (ln(2 * pi() * sse / n) + 1) + 2 * (p + 1), 4) AS aic FROM f
+QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY n * (ln(2 * pi() * sse / n) + 1) + 2 * (p + 1)) = 1""")
+def arima_search_ar(spark, d):
+    """The best of three orders without shocks, by AIC over one sample."""
+    best = arima.search_arima(daily_by_priority(spark, d), orders=[(0, 1, 0), (1, 1, 0), (2, 1, 0)], **DAYS)
+    return best.select(*PRIORITY, "p", "d", "q", "n", r("aic", 4).alias("aic"))
+
+
+SEASONAL_AR = f"""{MONTHLY_BY}, w AS (SELECT c_mktsegment, ts, y, y - lag(y, 12) OVER (PARTITION BY c_mktsegment ORDER BY ts) AS w,
+  row_number() OVER (PARTITION BY c_mktsegment ORDER BY ts) AS t, count(*) OVER (PARTITION BY c_mktsegment) AS n, max(ts) OVER (PARTITION BY c_mktsegment) AS last_ts FROM monthly),
+x AS (SELECT *, lag(w, 12) OVER (PARTITION BY c_mktsegment ORDER BY ts) AS b FROM w),
+f AS (SELECT c_mktsegment, count(*) AS n_obs, sum(w * b) / sum(b * b) AS phi, sum(w * w) AS ww, sum(w * w) - sum(w * b) ** 2 / sum(b * b) AS sse FROM x WHERE b IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH {SEASONAL_AR} SELECT c_mktsegment, 'SARIMA(0,0,0)x(1,1,0,12)' AS model, CAST(t - n + 12 AS INTEGER) AS step,
+last_day(last_ts + to_months(CAST(t - n + 12 AS INTEGER))) AS date, round(y + phi * w, 2) AS forecast FROM x JOIN f USING (c_mktsegment) WHERE t > n - 12""")
+def seasonal_ar_forecast(spark, d):
+    """One seasonal term on yearly differences, a year ahead."""
+    fitted = arima.fit_arima(segment_monthly(spark, d), orders=[(0, 0, 0, 1, 1, 0, 12)], **MONTHS)
+    return rounded(arima.forecast_arima(fitted, keys=SEGMENT, steps=12, freq="M"), "forecast", digits=2)
+
+
+@query(f"""WITH {SEASONAL_AR}, o AS (SELECT c_mktsegment, 0 AS sp, n_obs, ww AS sse FROM f UNION ALL SELECT c_mktsegment, 1, n_obs, sse FROM f),
+c AS (SELECT *, n_obs * (ln(2 * pi() * sse / n_obs) + 1) + 2 * (sp + 1) AS aic FROM o)
+SELECT c_mktsegment, CAST(sp AS INTEGER) AS sp, n_obs AS n, round(aic, 4) AS aic FROM c QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c.aic) = 1""")
+def seasonal_ar_search(spark, d):
+    """Yearly differences with and without a seasonal term; the lower AIC stays."""
+    best = arima.search_arima(segment_monthly(spark, d), orders=[(0, 0, 0, 0, 1, 0, 12), (0, 0, 0, 1, 1, 0, 12)], **MONTHS)
+    return best.select(*SEGMENT, "sp", "n", r("aic", 4).alias("aic"))
+
+
 @query(f"""WITH {DAILY_BY}, w AS (SELECT o_orderpriority, ts, y - lag(y) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS w FROM daily),
 x AS (SELECT o_orderpriority, w, lag(w) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS b FROM w)
 SELECT o_orderpriority, count(*) AS n, round(sum(w * b) / sum(b * b), 8) AS phi, round(sqrt((sum(w * w) - sum(w * b) ** 2 / sum(b * b)) / count(*)), 2) AS error FROM x WHERE b IS NOT NULL GROUP BY 1""")

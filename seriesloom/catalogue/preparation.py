@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.catalogue.base import PRIORITY, SHIP, interpolated, orders, query, r, rounded, ship_daily
+from seriesloom.catalogue.base import PRIORITY, SHIP, interpolated, orders, query, r, rounded, scratch, ship_daily
 from seriesloom.catalogue.windows import trailing
 from seriesloom.plans import forecasting, prepare
+from seriesloom.sources.layouts import LAYOUTS
+from seriesloom.sources.sinks import write_table
 from seriesloom.sources.tables import read_table
 
 
@@ -23,20 +25,37 @@ def prepare_product_prices(spark, d):
     return rounded(prepare.prepare_product_prices(raw, order=["p_partkey"], end="2024-12-31"), "discounted_price", "actual_price", "daily_sales", digits=2)
 
 
-@query("""SELECT o_orderkey, o_orderdate AS saledate, CASE WHEN year(o_orderdate) <= 1999 THEN CAST(year(o_orderdate) AS DOUBLE) END AS "year", o_totalprice AS sellingprice,
-CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey AS DOUBLE) END AS odometer, CAST(o_custkey AS DOUBLE) AS mmr FROM orders WHERE o_orderstatus <> 'P'""")
-def prepare_vehicle_sales(spark, d):
-    """Times of pending orders and distances of low-priority ones are no values at all."""
+VEHICLES = """SELECT o_orderkey, o_orderdate AS saledate, CASE WHEN year(o_orderdate) <= 1999 THEN CAST(year(o_orderdate) AS DOUBLE) END AS "year", o_totalprice AS sellingprice,
+CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey AS DOUBLE) END AS odometer, CAST(o_custkey AS DOUBLE) AS mmr FROM orders WHERE o_orderstatus <> 'P'"""
+
+
+def raw_vehicles(spark, d):
     t = orders(spark, d)
     shown = F.concat(F.date_format("o_orderdate", "EEE MMM dd yyyy HH:mm:ss"), F.lit(" GMT+0000 (UTC)"))
-    raw = t.select(
+    return t.select(
         "o_orderkey", F.when(F.col("o_orderstatus") != "P", shown).otherwise("pending").alias("saledate"), F.year("ts").cast("string").alias("year"),
         F.col("o_totalprice").cast("string").alias("sellingprice"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey").cast("string")).otherwise("none").alias("odometer"),
         F.col("o_custkey").cast("string").alias("mmr"))
-    out = prepare.prepare_vehicle_sales(raw, this_year=1998)
+
+
+@query(VEHICLES)
+def prepare_vehicle_sales(spark, d):
+    """Times of pending orders and distances of low-priority ones are no values at all."""
+    out = prepare.prepare_vehicle_sales(raw_vehicles(spark, d), this_year=1998)
     return out.withColumn("saledate", F.expr("to_utc_timestamp(saledate, current_timezone())").cast("timestamp_ntz"))
 
 
+@query(f"""WITH v AS ({VEHICLES}) SELECT vin, saledate, "year", sellingprice, odometer, mmr, 'saledate' AS ts_name, 'sellingprice' AS y_name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS vin, * FROM v)""")
+def layout_routing(spark, d):
+    """A file under a known layout's name is read and prepared by that layout."""
+    schema = [c.split()[0] for c in LAYOUTS["vehicle_sales"].schema.split(", ")]
+    raw = raw_vehicles(spark, d).withColumn("vin", F.col("o_orderkey").cast("string"))
+    raw = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in schema])
+    out, ts, y = prepare.prepare_dataset(spark, "car_prices", write_table(raw, scratch(spark), fmt="csv"), this_year=1998)
+    named = out.select("vin", "saledate", "year", "sellingprice", "odometer", "mmr", F.lit(ts).alias("ts_name"), F.lit(y).alias("y_name"))
+    return named.withColumn("saledate", F.expr("to_utc_timestamp(saledate, current_timezone())").cast("timestamp_ntz"))
+
+
 GENERIC = f"""x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ts, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS y FROM orders),
 {interpolated("x", (), "ts, o_orderkey")},
 b AS (SELECT o_orderkey, ts, coalesce(y, v1) AS y FROM filled),

@@ -61,22 +61,22 @@ def table_shape(spark, d):
 
 LINEITEM = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
-    "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string"}
+    "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
 
 
 def profiled(i: int, column: str, kind: str) -> str:
     """SQL of the profile row of one column."""
     stats = {"mean": f"avg({column})", "std": f"stddev_samp({column})", "min": f"min({column})", "max": f"max({column})"}
     stats |= {f"q{q}": f"quantile_cont(CAST({column} AS DOUBLE), 0.{q})" for q in (25, 50, 75)}
-    texts = kind == "string"
+    texts = kind in ("string", "timestamp_ntz")
     cells = ", ".join(f"{'NULL::DOUBLE' if texts else f'round(CAST({e} AS DOUBLE), 4)'} AS {name}" for name, e in stats.items())
     return f"""SELECT CAST({i} AS INTEGER) AS position, '{column}' AS "column", '{kind}' AS type, count(*) AS total, count({column}) AS known, count(*) - count({column}) AS nulls, {cells} FROM lineitem"""
 
 
 @query(" UNION ALL ".join(profiled(i, c, k) for i, (c, k) in enumerate(LINEITEM.items())))
 def dataset_profile(spark, d):
-    """Types, completeness and description of the key, number and text columns."""
-    return rounded(prof.profile(read_table(spark, d, "lineitem").select(*LINEITEM)), *STATS)
+    """Types, completeness and description of all columns."""
+    return rounded(prof.profile(read_table(spark, d, "lineitem")), *STATS)
 
 
 @query("""SELECT event_type, min(ts) AS start, max(ts) AS "end", CAST(floor((epoch(max(ts)) - epoch(min(ts))) / 86400) AS BIGINT) AS days,
