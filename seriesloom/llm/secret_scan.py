@@ -6,9 +6,11 @@ kind is inferred: the values make a prefix tree with counts, and states whose fr
 compatible by the Hoeffding bound, down to all their continuations, are merged (ALERGIA).
 
 Every run of credential characters in every text, or what base spans leave of it, is a
-candidate. Its format likelihood under each automaton is held against a character-pair model
+candidate. Its format likelihood under each automaton, the chance to end where it does
+included, is held against a character-pair model
 counted over all different candidates; those that an automaton explains better by ``least_bits`` a character
-are found secrets of kind ``format``.
+are found secrets of kind ``format``. Texts of any length are read whole; as Python objects
+exist only those of about a megabyte of text, or one longer text, at a time.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ SHORTEST = 8
 #: Chance of a character that an automaton has not seen at a state, spread over all characters.
 SMOOTH = 1e-3
 SYMBOLS = 67
+#: What becomes Python objects at a time.
+TEXT_BYTES, SPANS_AT_ONCE = 1 << 20, 20_000
 # The base patterns. Letters of the first are matched in a lower-case copy.
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
@@ -141,16 +147,24 @@ class Automaton:
                 seen.add(q)
 
 
+END = "\n"  # no candidate holds one; it stands for the begin of a word in pairs, and for its end
+
+
+def _bits(share: float) -> float:
+    return -math.log2(share * (1 - SMOOTH) + SMOOTH / SYMBOLS)
+
+
 def infer(words: list[str], alpha: float = ALPHA) -> pd.DataFrame:
-    """``state, symbol, next, bits`` of the automaton of some words: the moves and their costs."""
+    """``state, symbol, next, bits`` of the automaton of some words: the moves, the ends, and their costs."""
     found = Automaton(sorted(words))
     found.merge(alpha)
     rows, todo, known = [], [0], {0}
     while todo:
         state = todo.pop()
         total = found.visits(state)
+        rows.append((state, END, state, _bits(found.ends[state] / total)))
         for c, nxt in sorted(found.next[state].items()):
-            rows.append((state, c, nxt, -math.log2(found.count[state][c] / total * (1 - SMOOTH) + SMOOTH / SYMBOLS)))
+            rows.append((state, c, nxt, _bits(found.count[state][c] / total)))
             if nxt not in known:
                 known.add(nxt)
                 todo.append(nxt)
@@ -158,21 +172,21 @@ def infer(words: list[str], alpha: float = ALPHA) -> pd.DataFrame:
 
 
 def word_bits(moves: dict[tuple[int, str], tuple[int, float]], word: str, most: float = math.inf) -> float:
-    """The cost of a word, or part of it that is above ``most``; a character without a move costs the smoothing and leads to the start."""
+    """The cost of a word and its end, or part of it that is above ``most``; a character without a move costs the smoothing and leads to the start."""
     state, bits, unseen = 0, 0.0, (0, -math.log2(SMOOTH / SYMBOLS))
     for c in word:
         state, cost = moves.get((state, c), unseen)
         bits += cost
         if bits > most:
-            break
-    return bits
+            return bits
+    return bits + moves.get((state, END), unseen)[1]
 
 
 def pair_counts(words: list[str]) -> Counter:
-    """How often each character follows another, or the start."""
+    """How often each character, or the end, follows another or the start."""
     counts: Counter = Counter()
     for word in words:
-        counts.update(zip("\n" + word, word))
+        counts.update(zip(END + word, word + END))
     return counts
 
 
@@ -220,6 +234,18 @@ def learn_formats(spans: DataFrame, sample: int, alpha: float) -> tuple[dict[str
     return formats, pair_costs({(r["a"], r["b"]): r["n"] for r in cells.collect()})
 
 
+def portions(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], pa.Array], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``most`` in all, at least one row each; Python objects are made of one slice at a time."""
+    for batch in batches:
+        upto = np.cumsum(size(batch).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            spent = int(upto[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, spent + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def find_secrets(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_bits: float = LEAST_BITS, sample: int = SAMPLE, alpha: float = ALPHA
 ) -> DataFrame:
@@ -238,7 +264,7 @@ def find_secrets(
     scored = pa.struct([*span, ("score", pa.float64())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, lambda b: pc.binary_length(b.column(1)), TEXT_BYTES):
             spans = [[{"kind": k, "start": a, "end": b, "value": v} for a, b, k, v in text_spans(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], ["doc_id", "spans"])
 
@@ -247,13 +273,13 @@ def find_secrets(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = math.log2(SYMBOLS)
-        for batch in batches:
+        for batch in portions(batches, lambda b: pc.list_value_length(b.column(1)), SPANS_AT_ONCE):
             out = []
             for found in batch.column(1).to_pylist():
                 kept = []
                 for s in found:
                     v = s["value"]
-                    usual = sum([pairs.get(p, rare) for p in zip("\n" + v, v)])
+                    usual = sum([pairs.get(p, rare) for p in zip(END + v, v + END)])
                     # A free candidate that costs more than this is not kept, whatever its score.
                     most = usual - least_bits * len(v) + 1e-6 if s["kind"] == KINDS[3] else math.inf
                     bits = min((word_bits(moves, v, most) for moves in formats.values()), default=usual)

@@ -1,9 +1,14 @@
+import hashlib
+import math
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from frames import messy_rows
 
-from seriesloom.llm.secret_scan import KINDS, Automaton, find_secrets, infer, learn_formats, pair_bits, text_spans, word_bits
+from seriesloom.llm.q_secret_scan import op7_secret_scan
+from seriesloom.llm.secret_scan import ALPHA, KINDS, LEAST_BITS, SAMPLE, Automaton, find_secrets, infer, learn_formats, pair_bits, portions, text_spans, word_bits
 
 ASSIGN = re.compile(r"""(?:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
@@ -67,3 +72,43 @@ def test_pairs_of_all_candidates(spark):
     spans = spark.createDataFrame(rows, "spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     _, pairs = learn_formats(spans, sample=10, alpha=0.05)
     assert pairs == pair_bits(values)
+
+
+def test_the_end_of_a_word_counts():
+    """Digits of another length than the labelled ones are no format of theirs; the longer the less."""
+    rng = random.Random(6)
+    digits = lambda n, symbols="0123456789abcdef": "".join(rng.choice(symbols) for _ in range(n))
+    moves = {(r.state, r.symbol): (r.next, r.bits) for r in infer([digits(40) for _ in range(500)]).itertuples()}
+    usual = pair_bits([digits(16, "0123456789") for _ in range(300)] + [digits(40) for _ in range(30)])
+
+    def score(word):
+        pairs = zip("\n" + word, word + "\n")
+        return (sum(usual.get(p, math.log2(67)) for p in pairs) - word_bits(moves, word)) / len(word)
+
+    assert score(digits(16, "0123456789")) < LEAST_BITS < score(digits(40))
+
+
+def test_portions_keep_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * n if n is not None else None for n in (5, 0, None, 30, 2, 9, 1)])], ["i", "t"])
+    parts = list(portions(iter([batch]), lambda b: pc.binary_length(b.column(1)), 10))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(7))
+    assert [p.num_rows for p in parts] == [3, 1, 1, 2]
+    assert list(portions(iter([batch.slice(0, 0)]), lambda b: pc.binary_length(b.column(1)), 10)) == []
+
+
+def test_query_against_brute_force(spark):
+    """All spans of a table: patterns, automata and pair costs applied text by text in memory."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    spans = {r["doc_id"]: text_spans(r["text"]) for r in docs}
+    values = {k: sorted({v for found in spans.values() for _, _, kind, v in found if kind == k}, key=lambda v: (hashlib.md5(v.encode()).hexdigest(), v)) for k in KINDS}
+    formats = [{(r.state, r.symbol): (r.next, r.bits) for r in infer([v for v in values[k] if len(v) <= 256][:SAMPLE], ALPHA).itertuples()} for k in KINDS[:3] if values[k]]
+    usual = pair_bits(values["format"])
+
+    def kept(kind, v):
+        plain = sum(usual.get(p, math.log2(67)) for p in zip("\n" + v, v + "\n"))
+        return kind != "format" or plain - min(word_bits(m, v) for m in formats) >= LEAST_BITS * len(v)
+
+    expected = {d: ",".join(f"{k}:{a}:{b}" for a, b, k, v in found if kept(k, v)) for d, found in spans.items()}
+    found = {r["doc_id"]: r["spans"] for r in op7_secret_scan(spark, folder).collect()}
+    assert found == expected and any(found.values())
