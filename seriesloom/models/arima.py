@@ -1,10 +1,13 @@
-"""ARIMA and seasonal ARIMA by two-stage least squares (Hannan-Rissanen), all series at once.
+"""ARIMA and seasonal ARIMA by least squares in three stages (Hannan-Rissanen), all series at once.
 
 Stage one fits a long autoregression; its residuals stand in for the shocks. Stage two
 regresses the differenced series on its own lags and on lagged residuals. All orders with
-the same differencing share one aggregate: each is a sub-matrix of the largest one. The
-estimates differ from maximum likelihood. A seasonal model takes the lags of the product
-polynomial with free coefficients.
+the same differencing share one aggregate: each is a sub-matrix of the largest one, and the
+order is chosen by these. Stage three mends the bias of models with shocks: series and
+residuals are filtered by the inverse moving-average polynomial and regressed once more, until
+the coefficients stand still. That is the minimum of the conditional sum of squares, not the
+exact maximum likelihood. A seasonal model takes the lags of the product polynomial with free
+coefficients.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.models.leastsq import constant_of, from_zero, gram, least_squares, recursive_linear, solve, square
+from seriesloom.models.perseries import map_series
 from seriesloom.operators.ordering import join_on_keys, series_window, with_position
 from seriesloom.operators.timeaxis import dates_after
+from seriesloom.session import keep_facts
 
 ORDER = ("p", "d", "q", "sp", "sd", "sq", "s")
 NO_SEASON = (0, 0, 0, 0)
@@ -141,9 +147,95 @@ def best_order(fitted: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     return fitted.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
-def search_arima(df: DataFrame, *, orders: Iterable[Sequence[int]] = ARIMA_GRID, keys: Sequence[str] = (), **options) -> DataFrame:
-    """The order of lowest AIC per series; plain models by default, ``SARIMA_GRID`` for seasonal ones."""
-    return best_order(fit_arima(df, orders=orders, keys=keys, **options), keys=keys)
+def search_arima(
+    df: DataFrame, *, ts: str, y: str, orders: Iterable[Sequence[int]] = ARIMA_GRID, keys: Sequence[str] = (), refine: bool = True, **options,
+) -> DataFrame:
+    """The order of lowest AIC per series; plain models by default, ``SARIMA_GRID`` for seasonal ones.
+
+    With ``refine`` the chosen model goes through the third stage.
+    """
+    orders = list(orders)
+    best = best_order(fit_arima(df, ts=ts, y=y, orders=orders, keys=keys, **options), keys=keys)
+    shocked = any(o[2] or (len(o) > 3 and o[5]) for o in orders)
+    return refine_arima(best, df, ts=ts, y=y, keys=keys) if refine and shocked else best
+
+
+def inverse_filter(columns: np.ndarray, theta: Sequence[float], lags: Sequence[int]) -> np.ndarray:
+    """``x[t] = columns[t] - sum(theta * x[t - lag])``, from zeros on; a series per column."""
+    out = columns.copy()
+    for t in range(min(lags, default=len(out)), len(out)):
+        for weight, k in zip(theta, lags):
+            if t >= k:
+                out[t] -= weight * out[t - k]
+    return out
+
+
+def lagged(values: np.ndarray, k: int) -> np.ndarray:
+    return np.r_[np.zeros(min(k, len(values))), values[: max(0, len(values) - k)]]
+
+
+def third_stage(w: np.ndarray, beta: np.ndarray, ar: list[int], ma: list[int], constant: bool, rounds: int = 20, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (constant, AR, MA) of least conditional squares, and the shocks they leave."""
+    begin, inputs = max(ar, default=0), [np.ones(len(w))] * constant + [lagged(w, k) for k in ar]
+    design = np.stack(inputs, axis=1) if inputs else np.zeros((len(w), 0))
+
+    def shocks_of(beta: np.ndarray) -> np.ndarray:
+        rest = w - design @ beta[: design.shape[1]]
+        rest[:begin] = 0
+        return inverse_filter(rest[:, None], beta[design.shape[1] :], ma)[:, 0]
+
+    def stable(beta: np.ndarray) -> bool:
+        poly = np.zeros(max(ma) + 1)
+        poly[0] = 1.0
+        poly[ma] = beta[design.shape[1] :]
+        return bool(np.all(np.abs(np.roots(poly)) < 1)) if poly[1:].any() else True
+
+    if not stable(beta):
+        beta = np.r_[beta[: design.shape[1]], 0.5 * beta[design.shape[1] :] / max(1.0, np.abs(beta[design.shape[1] :]).sum())]
+    found = shocks_of(beta)
+    for _ in range(rounds):
+        slopes = inverse_filter(np.column_stack([design, *[lagged(found, k) for k in ma]])[begin:], beta[design.shape[1] :], ma)
+        step = np.linalg.lstsq(slopes, found[begin:], rcond=None)[0]
+        for _ in range(10):  # shorter steps until the squares fall
+            tried = beta + step
+            after = shocks_of(tried) if stable(tried) else None
+            if after is not None and after @ after <= found @ found:
+                break
+            step = step / 2
+        else:
+            break
+        beta, found, moved = tried, after, np.abs(step).max(initial=0)
+        if moved < tolerance * (1 + np.abs(beta).max(initial=0)):
+            break
+    return beta, found
+
+
+def refine_arima(fitted: DataFrame, df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``fitted`` after the third stage: better ``coef`` and ``last_shocks`` where a model has shocks.
+
+    ``sse`` and ``aic`` stay those by which the order was chosen. A calendar-grain frame; a
+    series is read from start to end once per fitted order.
+    """
+    known = df.where(F.col(y).isNotNull()).select(*keys, F.col(ts).alias("_ts"), F.col(y).cast("double").alias("_y"))
+    fitted = keep_facts(fitted)  # a row per series and order, read twice
+    shocked = fitted.where("q + sq > 0").select(*keys, *ORDER, "has_constant", "coef")
+    if keys:
+        rows = join_on_keys(known, shocked, keys)
+    else:  # one series: a row per fitted order
+        models = shocked.select(F.collect_list(F.struct(*shocked.columns))).scalar()
+        rows = known.select("_ts", "_y", F.explode(models).alias("_m")).select("_ts", "_y", "_m.*")
+
+    def fit(values: np.ndarray, last: pa.RecordBatch) -> tuple:
+        p, d, q, sp, sd, sq, s = (last.column(c)[0].as_py() for c in ORDER)
+        ar, ma, weights = lag_set(p, sp, s), lag_set(q, sq, s), difference_weights(d, sd, s)
+        w = np.convolve(values, weights)[len(weights) - 1 : len(values)]
+        beta, found = third_stage(w, np.array(last.column("coef")[0].as_py()), ar, ma, last.column("has_constant")[0].as_py())
+        return beta.tolist(), found[-max(ma) :].tolist()
+
+    group = [*keys, *ORDER]
+    better = map_series(rows, fit, ts="_ts", y="_y", keys=group, types="_coef array<double>, _shocks array<double>").drop("last_ts")
+    joined = join_on_keys(fitted, better, group, "left")
+    return joined.withColumns({"coef": F.coalesce("_coef", "coef"), "last_shocks": F.coalesce("_shocks", "last_shocks")}).drop("_coef", "_shocks")
 
 
 def forecast_arima(fitted: DataFrame, *, keys: Sequence[str] = (), steps: int = 30, freq: str = "D") -> DataFrame:

@@ -1,14 +1,13 @@
 """Exponential smoothing of many series, with weights given or searched on a grid.
 
-The recursion runs from row to row. Rows are partitioned by series and sorted by time, and a
-task reads its series one after another from the stream of Arrow batches: no group is built
-per series, and no more than one series, at calendar grain no longer than the calendar, is
-held at a time. All weights of the grid advance together as one vector per row.
+The recursion runs from row to row, in one pass over many series
+(:func:`seriesloom.models.perseries.map_series`). All weights of the grid advance together as
+one vector per row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
@@ -16,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.ordering import join_on_keys, series_window
+from seriesloom.models.perseries import map_series
+from seriesloom.operators.ordering import join_on_keys
 from seriesloom.operators.timeaxis import dates_after
 
 WEIGHT_GRID = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
@@ -75,9 +75,8 @@ def fit_smoothing(
     axes = [grid, grid if trend else (0.0,), grid if seasonal else (0.0,)]
     choices = [[weights[k]] if weights and k in weights else list(axis) for k, axis in zip(("alpha", "beta", "gamma"), axes)]
     alpha, beta, gamma = (np.array(v, dtype=float) for v in zip(*product(*choices)))
-    key_list, shape = list(keys), PARAMS.replace(",", "").split()[::2]
 
-    def fit(values: np.ndarray) -> tuple | None:
+    def fit(values: np.ndarray, last: pa.RecordBatch) -> tuple | None:
         if len(values) < 2 * length or len(values) < 2:
             return None
         with np.errstate(all="ignore"):
@@ -86,40 +85,7 @@ def fit_smoothing(
         return alpha[best], beta[best], gamma[best], len(values), sse[best], level[best], slope[best], list(seasons[:, best]) if seasonal else None
 
     known = df.where(F.col(y).isNotNull()).select(*keys, F.col(ts).alias("_ts"), F.col(y).cast("double").alias("_y"))
-    placed = known.withColumn("_i", F.row_number().over(series_window(keys, ["_ts"])))  # leaves every partition sorted
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, last, done = [], None, []
-
-        def end() -> None:
-            found = fit(np.concatenate(values)) if values else None
-            if found is not None:
-                done.append((last, found))
-
-        def rows() -> pa.RecordBatch:
-            lasts, fits = zip(*done)
-            columns = [pa.concat_arrays([one.column(c) for one in lasts]) for c in [*key_list, "_ts"]]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in zip(*fits))], [*key_list, "last_ts", *shape])
-
-        for batch in batches:
-            first, numbers = batch.column("_i").to_numpy() == 1, batch.column("_y").to_numpy()
-            edges = [0, *(np.flatnonzero(first[1:]) + 1), len(first)]
-            for a, b in zip(edges, edges[1:]):
-                if b > a and first[a]:
-                    end()
-                    values = []
-                if b > a:
-                    values.append(numbers[a:b])
-                    last = batch.slice(b - 1, 1)
-            if done:
-                yield rows()
-                done = []
-        end()
-        if done:
-            yield rows()
-
-    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + f"last_ts {df.schema[ts].dataType.simpleString()}, "
-    return placed.mapInArrow(run, types + PARAMS).withColumn("model", F.lit(model_name(trend, seasonal, period)))
+    return map_series(known, fit, ts="_ts", y="_y", keys=keys, types=PARAMS).withColumn("model", F.lit(model_name(trend, seasonal, period)))
 
 
 def forecast_smoothing(
