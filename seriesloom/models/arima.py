@@ -225,11 +225,14 @@ def refine_arima(fitted: DataFrame, df: DataFrame, *, ts: str, y: str, keys: Seq
         models = shocked.select(F.collect_list(F.struct(*shocked.columns))).scalar()
         rows = known.select("_ts", "_y", F.explode(models).alias("_m")).select("_ts", "_y", "_m.*")
 
-    def fit(values: np.ndarray, last: pa.RecordBatch) -> tuple:
+    def fit(values: np.ndarray, last: pa.RecordBatch) -> tuple | None:
         p, d, q, sp, sd, sq, s = (last.column(c)[0].as_py() for c in ORDER)
         ar, ma, weights = lag_set(p, sp, s), lag_set(q, sq, s), difference_weights(d, sd, s)
         w = np.convolve(values, weights)[len(weights) - 1 : len(values)]
-        beta, found = third_stage(w, np.array(last.column("coef")[0].as_py()), ar, ma, last.column("has_constant")[0].as_py())
+        coef = np.array(last.column("coef")[0].as_py(), dtype=float)
+        if not (np.isfinite(w).all() and np.isfinite(coef).all()):
+            return None  # the second stage stands
+        beta, found = third_stage(w, coef, ar, ma, last.column("has_constant")[0].as_py())
         return beta.tolist(), found[-max(ma) :].tolist()
 
     group = [*keys, *ORDER]
