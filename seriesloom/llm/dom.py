@@ -28,6 +28,8 @@ ENDS = {
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!|;|$)", re.I)
+
 
 class Node:
     """An element: tag, names (classes, id, role in lower case), and what it holds."""
@@ -77,7 +79,7 @@ def parse(text: str | None) -> Node:
         if m[3]:
             for a in _ATTRIBUTE.finditer(m[3]):
                 name = a[1].lower()
-                if name == "hidden":
+                if name == "hidden" or name == "style" and _UNSEEN.search(a[2] or a[3] or a[4] or ""):
                     hidden = True
                 elif name in ("class", "id", "role"):
                     names += (a[2] or a[3] or a[4] or "").lower().split()
