@@ -18,7 +18,8 @@ copies), those stay.
 
 How it is laid out: one pass reads the pages and writes their blocks and the shape of their
 tree. Seeds are an aggregate of the shapes. Blocks meet seeds, counts and template as rows, by
-shuffle; no list of a host's nodes or texts is ever in one row, task or the driver.
+shuffle; no list of a host's nodes or texts is ever in one row, task or the driver. Blocks that
+stay in any case, and pages of such blocks only, are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -336,7 +337,7 @@ def guarded(block: Block) -> bool:
 def keys(page: Page, seeds: dict[int, str]) -> list[tuple[tuple[int, int], ...]]:
     """Per block and scope the numbers of the node and of the node with this text."""
     every = node_numbers("", page.layout, page.shape, seeds.get(page.layout, page.shape), [b.at for b in page.blocks], [number(b.path) for b in page.blocks])
-    return [tuple((n, number(str(n), b.line)) for n in both) for b, both in zip(page.blocks, every)]
+    return [tuple((n, number(str(n), str(number(b.line)))) for n in both) for b, both in zip(page.blocks, every)]
 
 
 def induce(pages: list[str]) -> dict:
@@ -397,21 +398,28 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(html).cast("string").alias("html"))
     kind = rows.schema[0].dataType.simpleString()
     link = rows.schema[1].dataType.simpleString()
-    parts = {"line": pa.string(), "plain": pa.bool_(), "guard": pa.bool_(), "least": pa.int32(), "at": pa.int32(), "path": pa.int64()}
+    parts = {"line": pa.string(), "plain": pa.bool_(), "guard": pa.bool_()}
+    # What decides on the blocks that may be template; the others never are, and need no node.
+    open_parts = {"pos": pa.int32(), "least": pa.int32(), "at": pa.int32(), "path": pa.int64(), "same": pa.int64()}
+
+    def lists(found: list[list[tuple]], types: dict[str, pa.DataType]) -> list[pa.Array]:
+        edges = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        columns = list(zip(*(x for page in found for x in page))) or [()] * len(types)
+        return [pa.ListArray.from_arrays(edges, pa.array(c, t)) for c, t in zip(columns, types.values())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):  # a batch of long pages stays small
                 batch = whole.slice(a, 256)
                 found = [read_page(page.as_py()) for page in batch.column(4)]
-                edges = pa.array(np.cumsum([0, *(len(p.blocks) for p in found)]), pa.int32())
-                flat = [(b.line, b.plain, guarded(b), least(b.path), b.at, number(b.path)) for p in found for b in p.blocks]
-                lists = [pa.ListArray.from_arrays(edges, pa.array(c, t)) for c, t in zip(list(zip(*flat)) or [()] * 6, parts.values())]
+                every = lists([[(b.line, b.plain, guarded(b)) for b in p.blocks] for p in found], parts)
+                open_ = lists([[(k, least(b.path), b.at, number(b.path), number(b.line)) for k, b in enumerate(p.blocks) if not guarded(b)] for p in found], open_parts)
                 facts = [pa.array([p.layout for p in found], pa.int64()), pa.array([digest(p) for p in found], pa.int64()), pa.array([p.shape for p in found], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *facts, *lists], ["page_id", "url", "host", "row", "layout", "digest", "shape", *parts])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *facts, *every, *open_], ["page_id", "url", "host", "row", "layout", "digest", "shape", *parts, *open_parts])
 
-    fields = "line array<string>, plain array<boolean>, guard array<boolean>, least array<int>, at array<int>, path array<bigint>"
+    fields = "line array<string>, plain array<boolean>, guard array<boolean>, pos array<int>, least array<int>, at array<int>, path array<bigint>, same array<bigint>"
     parsed = cut_lineage(rows.mapInArrow(read, f"page_id {kind}, url {link}, host string, row bigint, layout bigint, digest bigint, shape string, {fields}"))
+    undecided = F.size("pos") > 0
     seeds = parsed.groupBy("host", "layout").agg(F.min(F.struct(F.length("shape").alias("n"), "shape")).alias("s")).select("host", "layout", F.col("s.shape").alias("seed"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,15 +432,15 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
         for batch in batches:
             out: list[tuple] = []
             for k in range(batch.num_rows):
-                row, host, layout, same, shape, seed, lines, need, at, paths = (c[k].as_py() for c in batch.columns)
-                for pos, both in enumerate(node_numbers(host, layout, shape, seed, at, paths)):
-                    out += [(row, pos, same, need[pos], n, number(str(n), lines[pos])) for n in both]
+                row, host, layout, alike, shape, seed, pos, need, at, paths, same = (c[k].as_py() for c in batch.columns)
+                for i, both in enumerate(node_numbers(host, layout, shape, seed, at, paths)):
+                    out += [(row, pos[i], alike, need[i], n, number(str(n), str(same[i]))) for n in both]
                     if len(out) > 20_000:
                         yield columns(out)
                         out = []
             yield columns(out)
 
-    wanted = parsed.join(seeds, ["host", "layout"]).select("row", "host", "layout", "digest", "shape", "seed", "line", "least", "at", "path")
+    wanted = parsed.filter(undecided).join(seeds, ["host", "layout"]).select("row", "host", "layout", "digest", "shape", "seed", "pos", "least", "at", "path", "same")
     placed = cut_lineage(wanted.mapInArrow(place, "row bigint, pos int, digest bigint, least int, node bigint, t bigint"))
     # Different pages by node, and by node and text; pages alike in all blocks are one.
     seen = placed.select("node", F.explode(F.array(F.lit(None).cast("bigint"), "t")).alias("t"), "least", "digest")
@@ -451,5 +459,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
                 text.append(slots(lines, plain.as_py(), guard.as_py(), [k in fixed for k in range(len(lines))]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(text, pa.string())], ["page_id", "url", "host", "text"])
 
-    joined = parsed.join(hits, "row", "left").select("page_id", "url", "host", "line", "plain", "guard", "hits")
-    return joined.mapInArrow(apply, f"page_id {kind}, url {link}, host string, text string")
+    columns = ["page_id", "url", "host", "line", "plain", "guard"]
+    decided = parsed.filter(~undecided).select(*columns, F.lit(None).cast("array<int>").alias("hits"))
+    joined = parsed.filter(undecided).join(hits, "row", "left").select(*columns, "hits")
+    return decided.unionByName(joined).mapInArrow(apply, f"page_id {kind}, url {link}, host string, text string")
