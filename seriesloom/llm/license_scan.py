@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,6 +127,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: A statement of this name only counts if no other is found: it stands beside licences too.
 WEAK = "all-rights-reserved"
+#: Size of the filter for the words whose frequencies are asked for, as a power of two.
+FILTER_BITS = 23
 #: Templates with fewer words are titles, and looked for as lines or paragraphs only.
 LEAST_WINDOW = 3
 _WORD = re.compile(r"[a-z0-9]+")
@@ -207,19 +211,22 @@ class Templates:
         for a, b in sorted(spans):
             yield every[a:b]
 
-    def near(self, text: str | None) -> set[str]:
-        """The words outside the templates of all segments that reach the threshold."""
-        return {w for found in self.segments(text) for s, _ in [max(self.scores(found), default=(0.0, 0))] if s >= self.threshold for w in found if w not in self.index}
+    def hopeful(self, text: str | None) -> dict[str, tuple]:
+        """By digest, the different segments that reach the threshold where words outside the templates weigh ``unseen``.
 
-    def best(self, text: str | None) -> tuple[float, str | None]:
-        """The cosine and name of the best segment that reaches the threshold.
-
-        A long template that is met nearly counts more than a short one that it contains: the
-        order is by cosine times the logarithm of the template's length.
+        Of each: the squared length of its words in the templates, (number, product) of the templates
+        that it can reach, and (word, count) of its other words.
         """
-        found = {(s, k) for part in self.segments(text) for s, k in self.scores(part) if s >= self.threshold}
-        s, k = max(found, key=lambda x: (self.names[x[1]] != WEAK, x[0] * math.log1p(self.lengths[x[1]]), self.names[x[1]]), default=(0.0, -1))
-        return (s, self.names[k]) if k >= 0 else (0.0, None)
+        out: dict[str, tuple] = {}
+        for found in self.segments(text):
+            near = [(s, k) for s, k in self.scores(found) if s >= self.threshold - 1e-9]
+            if near:
+                name = blake2b(" ".join(found).encode(), digest_size=16).hexdigest()
+                weights = self.weights(found)
+                norm = math.sqrt(sum(x * x for x in weights.values()))
+                own = sum(x * x for w, x in weights.items() if w in self.index)
+                out[name] = (own, [(k, s * norm) for s, k in near], [(w, n) for w, n in Counter(found).items() if w not in self.index])
+        return out
 
 
 def document_frequencies(files: DataFrame, text: str, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -240,6 +247,62 @@ def document_frequencies(files: DataFrame, text: str, vocabulary: set[str]) -> t
     return found, found.pop("", 0)
 
 
+def frequencies_of(files: DataFrame, text: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``word, files``: in how many files each ``word`` of a table stands.
+
+    The table is not sent to the tasks: a filter of ``2 ** bits`` bits is, whatever the number
+    of words; a word that passes it by chance is dropped by the join.
+    """
+    mask = (1 << bits) - 1
+    at = (F.crc32("word").bitwiseAND(F.lit(mask)) + 1).alias("at")
+    parts = wanted.select(at).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    passing = bytearray(max(1, (mask + 1) // 8))
+    for r in parts:
+        start = (r["part"] - 1) * len(r["bits"])
+        passing[start : start + len(r["bits"])] = r["bits"][: len(passing) - start]
+    passing = bytes(passing)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "files"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0):
+                for w in set(words(t.as_py() or "")):
+                    k = zlib.crc32(w.encode()) & mask
+                    if passing[k >> 3] >> (k & 7) & 1:
+                        counts[w] += 1
+                if len(counts) > 100_000:
+                    yield counted()
+        yield counted()
+
+    if not parts:
+        return wanted.select("word", F.lit(0).cast("bigint").alias("files"))
+    sums = files.select(F.col(text).cast("string")).mapInArrow(count, "word string, files bigint").groupBy("word").agg(F.sum("files").alias("files"))
+    return wanted.join(sums, "word")
+
+
+def best_of_segments(segments: DataFrame, frequencies: DataFrame, files: int, known: Templates) -> DataFrame:
+    """``digest, best``: the nearest template of each segment that reaches the threshold.
+
+    A long template that is met nearly counts more than a short one that it contains: the
+    order is by cosine times the logarithm of the template's length. ``WEAK`` comes last.
+    """
+    weight = (1 + F.log("o.n")) * (F.log((files + 1) / (F.col("files") + 1)) + 1)
+    rest = segments.select("digest", F.explode("others").alias("o")).withColumn("word", F.col("o.word")).join(frequencies, "word")
+    rest = rest.groupBy("digest").agg(F.sum(weight * weight).alias("rest"))
+    cosine = F.col("d.dot") / F.sqrt(F.col("own") + F.coalesce("rest", F.lit(0.0)))
+    pairs = segments.join(rest, "digest", "left").select("digest", "own", "rest", F.explode("dots").alias("d")).select("digest", F.col("d.k").alias("k"), cosine.alias("score"))
+    name = F.element_at(F.array(*map(F.lit, known.names)), F.col("k") + 1)
+    long = F.element_at(F.array(*(F.lit(math.log1p(n)) for n in known.lengths)), F.col("k") + 1)
+    order = F.struct((name != WEAK).alias("strong"), (F.col("score") * long).alias("weight"), name.alias("license"), F.col("score").alias("score"))
+    return pairs.filter(F.col("score") >= known.threshold).groupBy("digest").agg(F.max(order).alias("best"))
+
+
 def ancestors(path: str) -> Column:
     """The directories of a path, from its own up to the root, which is the empty one."""
     parts = F.split(F.col(path), "/")
@@ -253,38 +316,40 @@ def scan_licenses(
 
     ``origin`` is ``stated`` if the file itself states the licence (``score`` is the cosine),
     ``inherited`` if it comes from the licence file in ``directory``, and null if there is
-    none. Of several licence files of a directory the best score counts, ties by name. Null
+    none. Texts of any length are read whole. Of several licence files of a directory the best score counts, ties by name. Null
     paths have no directory and inherit nothing; null and empty texts state nothing. Repeated
     rows stay rows, columns of those names are replaced, an empty table gives no rows.
     """
     vocabulary = {w for statements in templates.values() for s in statements for w in words(s)}
     counts, n = document_frequencies(files, text, vocabulary)
     idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
-    # Other words of segments that reach the threshold if these words weigh least, as if in every file.
-    hopeful = Templates(templates, idf, 1.0, threshold)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = set().union(*(hopeful.near(t.as_py()) for t in batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
-
-    others_near = {r["word"] for r in files.select(F.col(text).cast("string")).mapInArrow(near, "word string").distinct().collect()}
-    if others_near:
-        counts, _ = document_frequencies(files, text, others_near)
-        idf |= {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1 for w in others_near}
-    known = Templates(templates, idf, math.log((n + 1) / 2) + 1, threshold)
+    # Which segments reach the threshold if their other words weigh least, as if in every file.
+    known = Templates(templates, idf, 1.0, threshold)
     others = [f for f in files.schema.fields if f.name not in (text, "license", "score", "origin", "directory")]
+    segment = "struct<digest string, own double, dots array<struct<k int, dot double>>, others array<struct<word string, n int>>>"
+    kind = pa.struct([("digest", pa.string()), ("own", pa.float64()), ("dots", pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64())]))), ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
 
     def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [known.best(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
-            rest = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
-            names = pa.array([name for _, name in found], pa.string())
-            scores = pa.array([score if name else None for score, name in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*rest, names, scores], [*(f.name for f in others), "license", "score"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "license string, score double"])
-    stated = cut_lineage(files.select(*(f.name for f in others), F.col(text).cast("string").alias(text)).mapInArrow(state, schema))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):  # a batch of long licence files stays small
+                batch = whole.slice(a, 512)
+                found = [
+                    [{"digest": d, "own": own, "dots": [{"k": k, "dot": x} for k, x in dots], "others": [{"word": w, "n": c} for w, c in more]} for d, (own, dots, more) in known.hopeful(t.as_py()).items()]
+                    for t in batch.column(len(others))
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), batch.column(len(others) + 1), pa.array(found, pa.list_(kind))], [*(f.name for f in others), "__row", "__found"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"__row bigint, __found array<{segment}>"])
+    numbered = files.select(*(f.name for f in others), F.col(text).cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    read = cut_lineage(numbered.mapInArrow(state, schema))
+    # A statement that many files share is weighed once.
+    met = read.select("__row", F.explode("__found").alias("s"))
+    segments = cut_lineage(met.groupBy(F.col("s.digest").alias("digest")).agg(F.first("s").alias("s")).select("digest", "s.own", "s.dots", "s.others"))
+    wanted = cut_lineage(segments.select(F.explode("others.word").alias("word")).distinct())
+    best = cut_lineage(best_of_segments(segments, frequencies_of(files, text, wanted), n, known))
+    best = met.select("__row", F.col("s.digest").alias("digest")).join(best, "digest").groupBy("__row").agg(F.max("best").alias("__best"))
+    stated = read.drop("__found").join(best, "__row", "left").withColumns({"license": F.col("__best.license"), "score": F.col("__best.score")}).drop("__best", "__row")
+    stated = cut_lineage(stated)
     own = F.regexp_replace(F.col(path), "/?[^/]*$", "")
     stated = stated.withColumn("__own", own)
     licensed = stated.filter(F.col(path).rlike(licence_file) & F.col("license").isNotNull())

@@ -1,11 +1,12 @@
 import math
 import random
+import re
 from collections import Counter
 
 from frames import messy_rows, prose
 from pyspark.sql import functions as F
 
-from seriesloom.llm.license_scan import TEMPLATES, Templates, scan_licenses, words
+from seriesloom.llm.license_scan import LICENCE_FILE, TEMPLATES, THRESHOLD, WEAK, Templates, frequencies_of, scan_licenses, words
 
 
 def test_pruning_loses_nothing():
@@ -74,3 +75,63 @@ def test_statements_inside_lines_and_near_versions(spark):
     rows += [(1000 + i, f"x{i}", " ".join(prose(i, 60))) for i in range(50)]
     found = {r["doc_id"]: r["license"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
     assert [found[i] for i in range(len(cases))] == list(cases.values())
+
+
+def brute(rows):
+    """License, score, origin and directory of (path, text): all segments of all texts, then a walk up the directories."""
+    n = len(rows)
+    counts = Counter(w for _, t in rows for w in set(words(t or "")))
+    every = {w for s in TEMPLATES.values() for t in s for w in words(t)} | set(counts)
+    known = Templates(TEMPLATES, {w: math.log((n + 1) / (counts[w] + 1)) + 1 for w in every}, 0.0, THRESHOLD)
+    stated, files = [], {}
+    for path, t in rows:
+        near = {(s, k) for part in known.segments(t) for s, k in known.scores(part) if s >= THRESHOLD}
+        s, k = max(near, key=lambda x: (known.names[x[1]] != WEAK, x[0] * math.log1p(known.lengths[x[1]]), known.names[x[1]]), default=(None, -1))
+        stated.append((known.names[k] if k >= 0 else None, s))
+        if k >= 0 and path is not None and re.search(LICENCE_FILE, path):
+            at = path.rpartition("/")[0]
+            files[at] = max(files.get(at, (-1, "")), (s, known.names[k]))
+    out = []
+    for (path, _), (name, s) in zip(rows, stated):
+        if name or path is None:
+            out.append((name, s, "stated" if name else None, None))
+            continue
+        at = path
+        while at and at.rpartition("/")[0] not in files:
+            at = at.rpartition("/")[0]
+        at = at.rpartition("/")[0] if at else None
+        out.append((files[at][1], None, "inherited", at) if at is not None else (None, None, None, None))
+    return out
+
+
+def test_scan_against_brute_force(spark):
+    """Statements with words left out and others put in, in files of directories of any depth."""
+    rng = random.Random(11)
+    statements = [t for s in TEMPLATES.values() for t in s]
+    rows = []
+    for i in range(300):
+        text = " ".join(prose(i % 40, rng.randint(0, 30)))
+        if rng.random() < 0.3:
+            own = [w for w in rng.choice(statements).split() if rng.random() < 0.95] + prose(rng.randrange(9), rng.randint(0, 2))
+            text = rng.choice([" ".join(own), f"{text}\n{' '.join(own)}\n\n{text}", f"{text} {' '.join(own)} {text}"])
+        path = "/".join([*rng.choices("abc", k=rng.randint(0, 4)), rng.choice(["LICENSE", "x.py", "y.py", "COPYING.txt"])])
+        rows.append((None if i % 37 == 0 else path, None if i % 41 == 0 else text))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, path string, text string").repartition(4)
+    found = {r["doc_id"]: r for r in scan_licenses(frame).collect()}
+    want = brute(rows)
+    assert sum(w[2] == "stated" for w in want) > 40 and sum(w[2] == "inherited" for w in want) > 40
+    for i, w in enumerate(want):
+        r = found[i]
+        assert (r["license"], r["origin"], r["directory"]) == (w[0], w[2], w[3]), i
+        assert r["score"] is None and w[1] is None or abs(r["score"] - w[1]) < 1e-9
+
+
+def test_frequencies_through_a_full_filter(spark):
+    """Words that pass the filter by chance are not counted as wanted ones."""
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(20)) for i in range(50)]
+    files = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(3)
+    wanted = spark.createDataFrame([(f"w{i}",) for i in range(60)], "word string")
+    want = Counter(w for t in texts for w in set(t.split()))
+    for bits in (3, 16, 23):
+        got = {r["word"]: r["files"] for r in frequencies_of(files, "text", wanted, bits).collect()}
+        assert got == {f"w{i}": want[f"w{i}"] for i in range(60) if want[f"w{i}"]}
