@@ -1,9 +1,10 @@
 """Quality by importance resampling.
 
 Two generative models over hashed words and word pairs are counted: one of target texts, one
-of all texts. The log weight of a text is the mean log ratio of the two over its features,
-times ``features`` (as if all texts were that long, or a long text's weight would drown any
-noise). Gumbel noise from a seeded hash of the id is added, and the ``k`` largest sums are a
+of all texts. The log weight of a text is the sum of the log ratios of the two over its features,
+so the weight is the ratio of the chances that the models give the text. As an option (``scale``)
+it is the mean log ratio times a number of features, as if all texts were that long; that
+tempers the weights of long texts, and the sample is then not in proportion to the ratio. Gumbel noise from a seeded hash of the id is added, and the ``k`` largest sums are a
 sample without replacement in proportion to the weights.
 
 The raw model is counted over all documents. The target model is fitted on at most
@@ -24,7 +25,6 @@ from seriesloom.session import cut_lineage
 
 BITS = 14
 TARGET_ROWS = 20_000
-FEATURES = 1000.0
 SEED = 3
 _BINS = 4096
 _FEW = 50_000
@@ -66,15 +66,15 @@ def log_ratios(docs: DataFrame, targets: DataFrame, doc_id: str, text: str, bits
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, doc_id: str, text: str, scale: float) -> DataFrame:
+def log_weights(docs: DataFrame, ratios: np.ndarray, doc_id: str, text: str, scale: float | None = None) -> DataFrame:
     """``doc_id, log_weight`` of every row; null for texts without words."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     bits = int(np.log2(len(ratios)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means = [float(ratios[f].mean()) * scale if len(f) else None for f in features(batch.column(1), bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], ["doc_id", "log_weight"])
+            sums = [float(ratios[f].sum()) * (1.0 if scale is None else scale / len(f)) if len(f) else None for f in features(batch.column(1), bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], ["doc_id", "log_weight"])
 
     return rows.mapInArrow(weigh, f"doc_id {rows.schema[0].dataType.simpleString()}, log_weight double")
 
@@ -102,14 +102,14 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
 
 def resample(
     docs: DataFrame, targets: DataFrame, k: int | float, doc_id: str = "doc_id", text: str = "text", bits: int = BITS,
-    target_rows: int = TARGET_ROWS, scale: float = FEATURES, seed: int = SEED,
+    target_rows: int = TARGET_ROWS, scale: float | None = None, seed: int = SEED,
 ) -> DataFrame:
     """``doc_id, log_weight, gumbel_key, kept`` for every row of ``docs``.
 
     ``targets`` has the ids of the target texts; null, unknown and repeated ids do no harm.
     ``k`` is a number of documents, or as a float a share of all. Rows that tie with the last
     one kept, as repeated rows do, are kept with it. Null, empty and blank texts have no weight and
-    are not kept; a null id has a noise of its own. Without targets the weights follow from
+    are not kept; a null id has a noise of its own. Texts of any length are read whole. ``scale`` replaces the sum of log ratios by their mean times ``scale``. Without targets the weights follow from
     the added ones alone. Repeated rows stay rows; an empty table gives no rows.
     """
     few = targets.select(F.col(doc_id)).filter(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), doc_id), doc_id).limit(target_rows)
