@@ -78,6 +78,20 @@ def centred_trend(spark, d):
     return rounded(out, "trend_ma", "detrended", digits=3)
 
 
+@query("""WITH n AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t,
+  count(*) OVER (PARTITION BY event_type) AS n FROM events),
+k AS (SELECT *, CAST(least(30, greatest(7, n // 10)) AS BIGINT) AS k FROM n),
+m AS (SELECT a.event_id, any_value(a.value) AS value, any_value(a.k) AS k, any_value(a.n) AS n, count(b.value) AS c, sum(b.value) AS s
+  FROM k a JOIN k b ON a.event_type = b.event_type AND b.t BETWEEN a.t - a.k // 2 AND a.t + (a.k - 1) // 2 GROUP BY 1)
+SELECT event_id, CASE WHEN c = k AND n >= 14 THEN round(s / k, 6) END AS trend_ma,
+  CASE WHEN c = k AND n >= 14 THEN round(value - s / k, 6) END AS detrended FROM m""")
+def centred_trend_rows(spark, d):
+    """The trend of raw rows: positions by range, neighbours by blocks."""
+    t = events(spark, d).select("event_id", "event_type", "ts", "value")
+    out = lag.centred_trend(t, ts="ts", y="value", keys=["event_type"], tie=["event_id"], grain="row")
+    return rounded(out, "trend_ma", "detrended", digits=6).select("event_id", "trend_ma", "detrended")
+
+
 OPEN_PRICE = "CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END"
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesloom.operators.ordering import ordered_columns, with_position
+from seriesloom.operators.ordering import BLOCK_ROWS, block_columns, ordered_columns, with_position
 
 
 def full_frame(value: Column, y: str, frame: WindowSpec, rows: int) -> Column:
@@ -57,24 +57,37 @@ def add_lag_features(
     return ordered_columns(df, build, ts=ts, keys=keys, tie=tie, grain=grain, back=max(n_lags, *windows))
 
 
-def centred_trend(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Centred moving average and the detrended rest, per series of a calendar-grain frame.
+def centred_trend(
+    df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), tie: Sequence[str] = (), grain: str = "bin", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Centred moving average and the detrended rest, per series.
 
     The window is min(30, max(7, n // 10)) rows, so its reach differs by series; a series
-    of fewer than 14 rows has no trend.
+    of fewer than 14 rows has no trend. The values of the largest window are neighbours at
+    fixed distances, of which each row takes those within the reach of its series.
     """
-    placed = with_position(df, ts=ts, keys=keys, grain="bin", position="_t", size="_n")
+    placed = with_position(df, ts=ts, keys=keys, tie=tie, grain=grain, position="_t", size="_n")
     width = F.least(F.lit(30), F.greatest(F.lit(7), F.floor(F.col("_n") / 10)))
-    window = Window.partitionBy(*keys).orderBy("_t")
-    reach = 15  # half of the largest window
-    around = window.rowsBetween(-reach, reach)
-    near = F.filter(
-        F.collect_list(F.struct(F.col("_t").alias("t"), F.col(y).alias("v"))).over(around),
-        lambda s: s["t"].between(F.col("_t") - F.floor(width / 2), F.col("_t") + F.floor((width - 1) / 2)) & s["v"].isNotNull(),
-    )
-    total = F.aggregate(near, F.lit(0.0), lambda acc, s: acc + s["v"].cast("double"))
-    trend = F.when((F.col("_n") >= 14) & (F.size(near) == width), total / width)
-    return placed.withColumn("trend_ma", trend).withColumn("detrended", F.col(y) - F.col("trend_ma")).drop("_t", "_n")
+    behind, ahead = F.floor(width / 2), F.floor((width - 1) / 2)
+    most_behind, most_ahead = 15, 14  # of the largest window
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        near = {k: F.lag(F.col(y).cast("double"), -k).over(w) for k in range(-most_behind, most_ahead + 1)}
+        return {f"_near_{k + most_behind}": v for k, v in near.items()}
+
+    if grain == "bin":
+        wide = placed.withColumns(build(Window.partitionBy(*keys).orderBy("_t")))
+    else:
+        wide = block_columns(placed, build, keys=keys, position="_t", back=most_behind, ahead=most_ahead, block_rows=block_rows)
+    taken = []
+    for k in range(-most_behind, most_ahead + 1):
+        reached = behind >= -k if k < 0 else ahead >= k
+        taken.append(F.when(reached, F.col(f"_near_{k + most_behind}")))
+    known = sum((v.isNotNull().cast("int") for v in taken), F.lit(0))
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in taken), F.lit(0.0))
+    trend = F.when((F.col("_n") >= 14) & (known == width), total / width)
+    out = wide.withColumn("trend_ma", trend).withColumn("detrended", F.col(y) - F.col("trend_ma"))
+    return out.drop("_t", "_n", *[f"_near_{k}" for k in range(most_behind + most_ahead + 1)])
 
 
 def sequences(

@@ -168,3 +168,16 @@ def test_texts_stay_where_nothing_is_averaged(spark):
     out = prepare.prepare_generic(spark.createDataFrame(days, "k string, ts date, y double, note string"), ts="ts", y="y", keys=["k"])
     notes = {(r["k"], r["action"]): r["n"] for r in out.groupBy("k", "action").agg(F.count("note").alias("n")).collect()}
     assert notes == {("whole", "regular"): 40, ("gap", "resampled_D"): 0}
+
+
+def test_date_is_found_by_name_before_values_are_read(spark):
+    """Only text columns before the first hit by name or type are parsed."""
+    plan = lambda df: validate.detect_date(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    wide = spark.createDataFrame([("2024-01-01", "x", "2024-01-02")], "order_date string, note string, seen string")
+    assert validate.detect_date(wide).first()["column"] == "order_date" and "seen" not in plan(wide) and "note" not in plan(wide)
+    late = wide.select("note", "seen", "order_date")
+    assert validate.detect_date(late).first()["column"] == "seen" and plan(late).count("order_date#") <= 1  # the scan only
+    assert validate.detect_date(late.select("note", "order_date")).first()["column"] == "order_date"
+    assert validate.detect_date(late.select("note")).first()["column"] is None
+    typed = wide.selectExpr("1 AS n", "current_date() AS d", "seen")
+    assert validate.detect_date(typed).first()["column"] == "d"

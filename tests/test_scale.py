@@ -126,3 +126,34 @@ def test_quantiles_by_range_and_by_window(spark, monkeypatch, few):
     assert found.keys() == expected.keys() and all(np.isclose(found[k], expected[k]) for k in found)
     packed = {(r["k"], r["column"], r["q"]): r["quantile"] for r in quantiles.exact_quantiles(frame, ["v", "w"], keys=["k"], qs=(0.1, 0.5), grain="bin").collect()}
     assert packed.keys() == {k for k in expected if k[2] in (0.1, 0.5)} and all(np.isclose(packed[k], expected[k]) for k in packed)
+
+
+def test_centred_trend_of_raw_rows(rows, skewed):
+    """The reach differs by series, and windows lie across the borders of small blocks."""
+    out = by_id(lags.centred_trend(rows, ts="ts", y="y", keys=["k"], tie=["id"], grain="row", block_rows=64))
+    want = []
+    for _, part in skewed.groupby("k"):
+        y, n = part["y"].to_numpy(), len(part)
+        k = min(30, max(7, n // 10))
+        for t, i in enumerate(part["id"]):
+            a, b = t - k // 2, t + (k - 1) // 2 + 1
+            near = y[max(a, 0) : b]
+            whole = n >= 14 and a >= 0 and b <= n and not np.isnan(near).any()
+            want.append((i, near.mean() if whole else np.nan, y[t] - near.mean() if whole else np.nan))
+    want = pd.DataFrame(want, columns=["id", "trend_ma", "detrended"]).sort_values("id").reset_index(drop=True)
+    same(out[["trend_ma", "detrended"]], want[["trend_ma", "detrended"]])
+    assert set(out.columns) == {"k", "ts", "id", "y", "trend_ma", "detrended"}
+
+
+def test_centred_trend_of_dense_rows(spark):
+    """Series without unknown values, of lengths around the limits."""
+    series = {"a": 13, "b": 14, "c": 100, "d": 299, "e": 700}
+    data = [(k, i, float(RNG.integers(-50, 50))) for k, n in series.items() for i in range(n)]
+    out = lags.centred_trend(spark.createDataFrame(data, "k string, t int, y double").repartition(5), ts="t", y="y", keys=["k"], grain="row", block_rows=50)
+    got = {(r["k"], r["t"]): r["trend_ma"] for r in out.collect()}
+    for k, n in series.items():
+        y, width = [v for c, _, v in data if c == k], min(30, max(7, n // 10))
+        for t in range(n):
+            a, b = t - width // 2, t + (width - 1) // 2 + 1
+            want = sum(y[a:b]) / width if n >= 14 and a >= 0 and b <= n else None
+            assert got[k, t] == (None if want is None else pytest.approx(want))
