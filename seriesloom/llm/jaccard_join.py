@@ -11,9 +11,10 @@ less often.
 How it is laid out:
 
 1. One pass over the texts gives each set its two-word digest, its size, its 64 smallest
-   hashes (a sketch) and its paths. Equal sets are one set from here on.
+   hashes (a sketch) and its paths, as a forest. Equal sets are one set from here on.
 2. Buckets are counted level by level; a path ends at its first bucket that is small, and
-   paths that are alone in a bucket end for good.
+   paths that are alone in a bucket end for good. Only below large buckets are the forests
+   unfolded, so a set of a large group walks as one row per bucket and not per path.
 3. Buckets are brute-forced on the sketches: pairs that could reach the threshold tie their
    sets into clusters (the sketch of two sets at the threshold falls below ``screen`` in one
    of 10,000 cases; sets of at most 64 tokens are compared exactly). Large buckets
@@ -57,28 +58,40 @@ def runs_needed(recall: float, spread: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - lives))
 
 
-def chosen_paths(tokens: np.ndarray, runs: int, spread: float, threshold: float, depth: int) -> np.ndarray:
-    """All paths of a set: one row of ``depth`` nodes each, 0 from where a path picked no further token."""
+def chosen_paths(tokens: np.ndarray, runs: int, spread: float, threshold: float, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The paths of a set as a forest: level by level the nodes and the places of their parents in the level above.
+
+    A node is a hash of its whole path, so no two nodes of a set are equal. Nodes of one parent
+    stand together, in the order of the parents; those of the first level have runs as parents.
+    """
     chance = spread / (threshold * max(len(tokens), 1))
     limit = np.uint64(min(int(chance * 2.0**64), 2**64 - 1))
-    nodes, paths = mix(np.arange(_SEED, _SEED + runs, dtype=np.uint64)), np.zeros((runs, 0), np.uint64)
-    ended = []
-    for level in range(depth):
-        step = max(1, 2_000_000 // max(len(tokens), 1))
-        parents, children = [], []
-        for k in range(0, len(nodes), step):
+    nodes, levels = mix(np.arange(_SEED, _SEED + runs, dtype=np.uint64)), []
+    step = max(1, 2_000_000 // max(len(tokens), 1))
+    for _ in range(depth):
+        parents, children = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for k in range(0, len(nodes) if len(tokens) else 0, step):
             hashes = mix(tokens[None, :] ^ nodes[k : k + step, None])
             at, which = np.nonzero(hashes <= limit)
             parents.append(at + k)
             children.append(hashes[at, which])
-        parent = np.concatenate(parents) if parents else np.zeros(0, int)
-        nodes = np.concatenate(children) if children else np.zeros(0, np.uint64)
+        nodes = np.concatenate(children)
+        levels.append((nodes, np.concatenate(parents)))
+    return levels
+
+
+def as_forests(sets: list[list[tuple[np.ndarray, np.ndarray]]], depth: int) -> pa.Array:
+    """The forests of many sets as one array of nested lists: ``node`` and ``next``, the list of its children."""
+    inner = None
+    for level in reversed(range(depth)):
+        node = pa.array(np.concatenate([x[level][0] for x in sets]).view(np.int64))
+        whole = pa.StructArray.from_arrays([node] if inner is None else [node, inner], ["node"] if inner is None else ["node", "next"])
         if level:
-            childless = np.ones(len(paths), bool)
-            childless[parent] = False
-            ended.append(np.pad(paths[childless], ((0, 0), (0, depth - level))))
-        paths = np.column_stack([paths[parent], nodes])
-    return np.concatenate([*ended, paths])
+            counts = np.concatenate([np.bincount(x[level][1], minlength=len(x[level - 1][0])) for x in sets])
+        else:
+            counts = np.array([len(x[0][0]) for x in sets])
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), whole)
+    return inner
 
 
 def token_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -136,12 +149,17 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, doc_id: str, text: str, words: int, runs: int, spread: float, threshold: float, depth: int) -> DataFrame:
-    """One row per document: a row number, digest, size, sketch and paths of its set."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    levels = [f"p{k + 1}" for k in range(depth)]
+    """One row per document: a row number, a hash of its text, and digest, size, sketch and paths of its set."""
+    whole = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(whole).alias("text_hash"))
+    nested = "array<struct<node: bigint>>"
+    for _ in range(depth - 1):
+        nested = f"array<struct<node: bigint, next: {nested}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             first, second, size, sketch, paths = [], [], [], [], []
             for tokens in token_sets(batch.column(1), words):
                 a, b = digest(tokens)
@@ -149,34 +167,33 @@ def describe_sets(docs: DataFrame, doc_id: str, text: str, words: int, runs: int
                 second.append(b)
                 size.append(len(tokens))
                 sketch.append((tokens[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-                paths.append(chosen_paths(tokens, runs, spread, threshold, depth).astype(np.int64) if len(tokens) else np.zeros((0, depth), np.int64))
-            edges = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32))
-            every = np.concatenate(paths) if paths else np.zeros((0, depth), np.int64)
-            lists = [pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(every[:, k]))) for k in range(depth)]
-            columns = [batch.column(0), batch.column(2), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *lists], ["doc_id", "row", "d1", "d2", "size", "sketch", *levels])
+                paths.append(chosen_paths(tokens, runs, spread, threshold, depth))
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(size, pa.int64())]
+            columns += [pa.array(sketch, pa.binary()), as_forests(paths, depth)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "text_hash", "d1", "d2", "size", "sketch", "paths"])
 
-    lists = "".join(f", {p} array<bigint>" for p in levels)
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, row bigint, d1 bigint, d2 bigint, size bigint, sketch binary{lists}")
+    kept = f"doc_id {rows.schema[0].dataType.simpleString()}, row bigint, text_hash bigint"
+    return rows.mapInArrow(run, f"{kept}, d1 bigint, d2 bigint, size bigint, sketch binary, paths {nested}")
 
 
 def buckets(sets: DataFrame, depth: int, small: int) -> DataFrame:
-    """``row, node, sets``: the buckets of at least two sets in which the paths end."""
-    levels = [f"p{k + 1}" for k in range(depth)]
+    """``row, node, sets``: the buckets of at least two sets in which the paths end.
+
+    A set walks as one row per node with the forest below it, which is unfolded by one level
+    only where the bucket of the node is large.
+    """
     found = None
-    walking = sets.select("row", F.explode(F.arrays_zip(*levels)).alias("path")).select("row", *(F.col(f"path.{p}").alias(p) for p in levels))
-    once = sets.select("row", F.explode(F.array_distinct("p1")).alias("node"))
-    for k, p in enumerate(levels):
-        if k:
-            once = walking.filter(f"{p} <> 0").select("row", F.col(p).alias("node")).distinct()
-        counts = cut_lineage(once.groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1"))
-        ends = counts if k == depth - 1 else counts.filter(F.col("sets") <= small)
-        here = once.join(ends, "node").select("row", "node", "sets")
+    nodes, walking = sets.select("row", F.explode("paths.node").alias("node")), sets.select("row", F.inline("paths"))
+    for level in range(depth):
+        counts = cut_lineage(nodes.groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1"))
+        last = level == depth - 1
+        here = nodes.join(counts if last else counts.filter(F.col("sets") <= small), "node").select("row", "node", "sets")
         found = here if found is None else found.unionByName(here)
-        large = cut_lineage(counts.filter(F.col("sets") > small).select("node"))
-        if k == depth - 1 or large.isEmpty():
+        large = counts.filter(F.col("sets") > small).select("node")
+        if last or large.isEmpty():
             return found
-        walking = cut_lineage(walking.join(large, F.col(p) == F.col("node"), "left_semi"))
+        walking = cut_lineage(walking.join(large, "node", "left_semi").select("row", F.inline("next")))
+        nodes = walking.select("row", "node")
     return found
 
 
@@ -311,20 +328,25 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
     spread: float = SPREAD, depth: int = DEPTH, small: int = SMALL, screen: float = SCREEN, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """``doc_id, class_id, n_links, copies`` for every row of ``docs``.
+    """``doc_id, class_id, n_links, copies, text_hash, first`` for every row of ``docs``.
 
     Two documents are linked if the sets of their runs of ``words`` words have a Jaccard
     similarity of ``threshold`` or more; a text of fewer words is one run. Classes are the
     connected components, named by their smallest id. ``n_links`` counts the other documents
     that are linked to this one, ``copies`` the documents with the same set, itself included.
+    ``text_hash`` is Spark's ``xxhash64`` of the text, which with the id tells rows apart where ids
+    repeat; ``first`` is true for one row of each class, one with the smallest id.
     Null, empty and blank texts have no words: they are linked to nothing and their class is
-    their own id. Repeated rows count as documents; a null id is larger than any other. Other
-    columns are not read; an empty table gives no rows.
+    their own id. Repeated rows count as documents; a null id is larger than any other. Texts
+    are read whole, a megabyte of text or one longer text at a time. At equal ids the earlier row
+    in the order of the read is ``first``. Other columns are not read, whatever their names; an
+    empty table gives no rows.
     """
     runs = runs_needed(recall, spread, depth)
     described = cut_lineage(describe_sets(docs, doc_id, text, words, runs, spread, threshold, depth))
     some = described.filter("size > 0")
-    groups = cut_lineage(some.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id")))
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    groups = cut_lineage(some.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min(least).alias("least")))
     sets = some.join(groups.select("row"), "row", "left_semi")
 
     entries = cut_lineage(buckets(sets, depth, small))
@@ -332,18 +354,19 @@ def near_duplicates(
     entries = in_tiles(entries, "blocks", "row").repartition("node", "low", "high").sortWithinPartitions("node", "low", "high")
     clusters = components(screened_links(entries, threshold, screen, small).distinct(), "a", "b")
 
-    inside = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(sets.select("row", "doc_id", "d1", "d2", "size"), "row")
+    inside = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(sets.select("row", "doc_id", "text_hash", "d1", "d2", "size"), "row")
     inside = cut_lineage(inside.join(groups.select("row", "copies"), "row"))
     spans = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_tokens)).alias("blocks"))
-    wanted = inside.join(spans, "cluster").withColumnRenamed("doc_id", "wanted_id").drop("size")
+    wanted = inside.join(spans, "cluster").withColumnsRenamed({"doc_id": "wanted_id", "text_hash": "wanted_hash"}).drop("size")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # Always by shuffle, so that the plan is the same at any size.
-    texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("row", "cluster", "blocks", "copies", "d1", "d2", "text")
+    # Always by shuffle, so that the plan is the same at any size. The hash keeps rows of one id apart.
+    same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_hash"))
+    texts = texts.join(wanted.hint("merge"), same).select("row", "cluster", "blocks", "copies", "d1", "d2", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(token_sets(batch.column(6), words))
-            # Another document may have the same id: only the set that was asked for counts.
+            # Another text may have the same id and hash: only the set that was asked for counts.
             right = np.array([digest(t) == (a, b) for t, a, b in zip(found, batch.column(4).to_pylist(), batch.column(5).to_pylist())], bool)
             found = [t for t, ok in zip(found, right) if ok]
             edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
@@ -356,8 +379,11 @@ def near_duplicates(
     links = verified.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(verified.filter("row <> root"), "row", "root").select(F.col("node").alias("row"), "root")
     known = groups.join(links, "row", "left").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    names = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = known.join(names, "root").select("d1", "d2", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    worded = some.select("doc_id", "d1", "d2").join(known, ["d1", "d2"]).select("doc_id", "class_id", "n_links", "copies")
-    wordless = described.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("copies"))
+    names = known.groupBy("root").agg(F.min("least").alias("least"))
+    total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    known = known.drop("least").join(names, "root").select("d1", "d2", "copies", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("first_row"), total)
+    worded = some.select("doc_id", "text_hash", "row", "d1", "d2").join(known, ["d1", "d2"])
+    worded = worded.select("doc_id", "class_id", "n_links", "copies", "text_hash", (F.col("row") == F.col("first_row")).alias("first"))
+    none, one = F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("copies")
+    wordless = described.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), none, one, "text_hash", F.lit(True).alias("first"))
     return worded.unionByName(wordless)

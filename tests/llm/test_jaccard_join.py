@@ -8,7 +8,7 @@ import pytest
 from frames import messy_rows, prose
 
 from seriesloom.llm.components import components
-from seriesloom.llm.jaccard_join import chosen_paths, near_duplicates, runs_needed
+from seriesloom.llm.jaccard_join import as_forests, chosen_paths, near_duplicates, runs_needed
 from seriesloom.llm.shingles import WordRuns
 
 
@@ -73,11 +73,49 @@ def test_recall(similarity):
     for _ in range(n):
         shared = rng.integers(1, 2**63, round(100 * 2 * similarity / (1 + similarity)), dtype=np.uint64)
         a, b = (np.unique(np.append(shared, rng.integers(1, 2**63, 100 - len(shared), dtype=np.uint64))) for _ in range(2))
-        x, y = (chosen_paths(s, runs, 1.25, 0.8, 3) for s in (a, b))
-        hits += bool({tuple(p) for p in x if p.all()} & {tuple(p) for p in y if p.all()})
+        x, y = (chosen_paths(s, runs, 1.25, 0.8, 3)[-1][0] for s in (a, b))  # the nodes at which whole paths end
+        hits += bool(set(x.tolist()) & set(y.tolist()))
     assert hits >= n * 0.99
 
 
+def test_forests_hold_every_path():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in (0, 1, 7, 300, 0)]
+    levels = [chosen_paths(s, 10, 1.25, 0.8, 3) for s in sets]
+    for forest, found in zip(as_forests(levels, 3).to_pylist(), levels):
+        at = [[(x["node"], x.get("next")) for x in forest]]
+        for _ in range(2):
+            at.append([(y["node"], y.get("next")) for _, kids in at[-1] for y in kids])
+        for level, (nodes, parents) in enumerate(found):
+            assert [n for n, _ in at[level]] == nodes.view(np.int64).tolist()
+            if level:
+                assert [len(kids) for _, kids in at[level - 1]] == np.bincount(parents, minlength=len(at[level - 1])).tolist()
+                assert len(set(nodes.tolist())) == len(nodes)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one id, or none, are known by their text; one row of each class is first."""
+    rng = random.Random(9)
+    base, rows = prose(3, 90), []
+    for i in range(60):
+        words = list(base) if i % 3 else prose(500 + i, 60)
+        words[rng.randrange(50)] = f"v{i}"
+        rows.append((None if i % 2 else 7, " ".join(words), "en", "a", 1))
+    rows += [(7, "", "en", "a", 1), (None, None, "en", "a", 1), rows[0], rows[1]]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    assert found(frame, small=8, block_sets=16) == brute(rows)
+    sets = [shingles(r[1]) for r in rows]
+    close = lambda a, b: a and b and len(a & b) * 1.8 >= 0.8 * (len(a) + len(b)) - 1e-9
+    classes, left = 0, list(range(len(rows)))
+    while left:
+        queue, classes = [left.pop(0)], classes + 1
+        while queue:
+            x = queue.pop()
+            near = [y for y in left if close(sets[x], sets[y])]
+            left, queue = [y for y in left if y not in near], queue + near
+    assert near_duplicates(frame, small=8, block_sets=16).filter("first").count() == classes
+
+
 def test_word_runs_match_strings():
     texts = ["A b\tc  d e f", "", None, "x", "a B c d e f", "é ü c d e f\n", "  "]
     runs, edges = WordRuns(pa.array(texts)).runs(5, short=True)
