@@ -22,30 +22,55 @@ SHARE = 1.0
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those with a narrow margin or without a letter go."""
+    """Documents whose language is clear; those with a narrow margin or without a letter go.
+
+    So null, empty and blank texts go. Whole texts count, however long; repeated rows get the same
+    answer each; at equal sizes the margin is narrow. A null ``lang`` teaches nothing, and an
+    empty table gives an empty one. Other columns pass unread, whatever their names.
+    """
     found = identify(docs.select(F.struct("*").alias("row"), "text"), models(docs.select("doc_id", "text", "lang")))
     return found.filter("NOT rejected").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, that with the smallest id.
+
+    A null text equals an empty one. Whole texts are compared, however long; of repeated rows one
+    stays. An empty table gives an empty one. Other columns pass, whatever their names.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate class; one without an id stays."""
-    gone = cut_lineage(near_duplicates(docs).filter("NOT (doc_id <=> class_id)").select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """One document, that with the smallest id, of each near-duplicate class.
+
+    Rows are known by id and text, so of two rows of one id each is judged by its own text; equal
+    rows stay or go together. Rows without an id stay, and so do null, empty and blank texts. An
+    empty table gives an empty one; columns are those of ``docs``, whatever else they hold.
+    """
+    found = near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = cut_lineage(found.agg(F.bool_or("first").alias("stays")).filter("NOT stays").drop("stays"))
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["gone_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, by the target weights of domains, languages and sources."""
+    """As many tokens as there are, by the target weights of domains, languages and sources.
+
+    A null text counts as empty, null languages and sources are leaves of their own. Long texts
+    count whole and are never cut. An empty table gives an empty one. Columns pass through, whatever
+    their names.
+    """
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.expr(DOMAIN).alias("domain"), "lang", "source")
     return mix(rows, LEVELS, WEIGHTS, SHARE).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the pieces of the documents lie in sequences of 2048 tokens."""
+    """Where the pieces of the documents lie in sequences of 2048 tokens.
+
+    Null and empty texts are a piece of one end id. Longer documents are cut into pieces of 2048;
+    repeated rows are packed each. An empty table gives no rows; extra columns are not read.
+    """
     return pack(docs, payload=IDS_CRC32)
 
 
