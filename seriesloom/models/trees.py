@@ -28,6 +28,7 @@ from seriesloom.operators.timeaxis import dates_after
 from seriesloom.session import cut_lineage
 
 SEED = 42
+FIT_ROWS = 10_000  # rows of a task of a fit
 
 # The default hyper-parameter grids. spark.ml limits the depth to 30, which
 # stands for "no limit"; it has no least size of a split node.
@@ -77,11 +78,21 @@ def on_scale(rows: DataFrame, *, y: str, n_lags: int, calendar: bool) -> DataFra
     return VectorAssembler(inputCols=feature_names(n_lags, calendar), outputCol="features").transform(scaled)
 
 
+def dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Written rows in as many partitions as their number asks for, each in one order.
+
+    A boosted model runs hundreds of jobs, each with a task per partition. The partitions that a
+    shuffle leaves follow the session's settings, and a cached frame keeps the empty ones. ``by``
+    tells rows apart, so neither those settings nor a lost task change what a fit sees.
+    """
+    return rows.repartition(max(1, -(-rows.count() // FIT_ROWS)), *by).sortWithinPartitions(*by)
+
+
 def fit_trees(df: DataFrame, *, ts: str, y: str, keys: Sequence[str] = (), kind: str = "rf", n_lags: int = 12, calendar: bool = True, **params):
     """Fit ``rf``, ``gb`` or ``xgb`` on calendar-grain series; returns the model and the series' scales."""
     scales = series_scales(df, y=y, keys=keys)
-    design = scaled_design(df, scales, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar).select("features", "_label")
-    design = design.persist()
+    design = scaled_design(df, scales, ts=ts, y=y, keys=keys, n_lags=n_lags, calendar=calendar).select(*keys, ts, "features", "_label")
+    design = dealt(cut_lineage(design), [*keys, ts]).select("features", "_label").persist()
     try:
         if kind == "rf":
             return forest(**params).fit(design), scales

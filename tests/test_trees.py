@@ -83,3 +83,34 @@ def test_search_beats_the_mean_and_gives_its_model(series):
     assert params == json.loads(ranked[0]["params"]) and model.getNumTrees == 20
     with pytest.raises(ValueError, match="subsamplingRate"):
         trees.grid_search(series, grid={"subsamplingRate": (0.5,)}, **how)
+
+
+@pytest.fixture
+def partitions(spark):
+    """Sets the session's shuffle partitions; the test leaves them as they were."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, n)
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("kind", ["rf", "xgb"])
+def test_fit_gets_partitions_by_its_rows(series, monkeypatch, partitions, kind):
+    """A fit gets the same rows in the same places under any number of shuffle partitions."""
+    seen = []
+
+    class Recorder:
+        def fit(self, design):
+            seen.append([[(r["_label"], tuple(r["features"])) for r in part] for part in design.rdd.glom().collect()])
+
+    monkeypatch.setattr(trees, "forest", lambda **given: Recorder())
+    monkeypatch.setattr(trees, "boosted", lambda **given: Recorder())
+    for rows, n in ((10_000, 3), (10_000, 40), (50, 3), (50, 40)):
+        monkeypatch.setattr(trees, "FIT_ROWS", rows, raising=False)
+        partitions(n)
+        trees.fit_trees(series, kind=kind, n_lags=7, **HOW)
+    assert [len(s) for s in seen] == [1, 1, 4, 4]
+    assert all(sum(map(len, s)) == 2 * (90 - 7) for s in seen)
+    for a, b in (seen[:2], seen[2:]):
+        for left, right in zip(a, b):
+            assert np.allclose([v for v, _ in left], [v for v, _ in right]) and np.allclose([v for _, v in left], [v for _, v in right])
