@@ -9,6 +9,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from seriesloom.catalogue import QUERIES
 from seriesloom.models import trees
 from seriesloom.models.compiled import compile_trees
 
@@ -114,3 +115,21 @@ def test_fit_gets_partitions_by_its_rows(series, monkeypatch, partitions, kind):
     for a, b in (seen[:2], seen[2:]):
         for left, right in zip(a, b):
             assert np.allclose([v for v, _ in left], [v for v, _ in right]) and np.allclose([v for _, v in left], [v for _, v in right])
+
+
+def test_boosted_forecast_under_other_partitions(spark, small, monkeypatch, partitions):
+    """The query's fit has one task for its few rows, and its forecasts are the same."""
+    sizes, fitted = [], trees.boosted
+
+    class Recorder:
+        def fit(self, design):
+            sizes.append(design.rdd.getNumPartitions())
+            return fitted(maxIter=3).fit(design)
+
+    monkeypatch.setattr(trees, "boosted", lambda **given: Recorder())
+    paths = []
+    for n in (3, 40):
+        partitions(n)
+        paths.append([r["forecast"] for r in QUERIES["boosted_forecast"](spark, small).orderBy("o_orderpriority", "step").collect()])
+    assert sizes == [1, 1]
+    assert len(paths[0]) == 5 * 30 and np.allclose(*paths)
