@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.word_tokens import SEGMENT_BYTES, WordEncoder, segments, vocabulary_size
+from seriesloom.llm.word_tokens import SEGMENT_BYTES, WordEncoder, kept_encoder, segments, vocabulary_size
 from seriesloom.operators.ordering import join_facts
 from seriesloom.session import cut_lineage
 
@@ -171,10 +171,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], encode: WordEncoder) -> Iterator
         return begun, ids, np.concatenate([[0], np.cumsum(lengths)])
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            parts = list(segments(batch.column(1)[i].as_py() or b""))
+        for doc, text in zip(batch.column(0), batch.column(1)):
+            doc, parts = doc.as_py(), list(segments(text.as_py() or b""))
             for k, part in enumerate(parts):
-                begun.append((k == 0, batch.column(0)[i].as_py()))
+                begun.append((k == 0, doc))
                 texts.append(part)
                 ends.append(k == len(parts) - 1)
                 size += len(part)
@@ -201,7 +201,7 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number, shard = TaskContext.get().partitionId(), 0, None
-        for begun, ids, edges in _encoded(batches, WordEncoder(vocabulary, end_id)):
+        for begun, ids, edges in _encoded(batches, kept_encoder(vocabulary, end_id)):
             for (first, doc), a, b in zip(begun, edges[:-1], edges[1:]):
                 if first and shard and len(shard) >= shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([shard.close(partition, number)[:-1]], pa.binary())], ["shard"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -17,8 +18,10 @@ _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Letters that are whole characters in any normal form, with one lower case. Marks beside them
 #: are words of their own, but an apostrophe may belong to a word and "<|" open a special token.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-MARKS = re.escape("!\"#$%&()*+,-./:;=>?@[]^_`{|}~\\")
+_MARKS = "!\"#$%&()*+,-./:;=>?@[]^_`{|}~\\"
+MARKS = re.escape(_MARKS)
 _PLAIN = re.compile(f"([{MARKS}]*)([{LETTERS}]*)([{MARKS}]*)")
+_AFTER = _MARKS.encode()
 
 
 def vocabulary_size(vocabulary: str | None = None) -> int:
@@ -60,9 +63,12 @@ class WordEncoder:
 
         self._tokenizer = _tokenizer(vocabulary)
         self._end_id = end_id
-        # How the vocabulary writes the bytes of a letter.
+        # How the vocabulary writes the bytes of a letter, where not as the character of that number.
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in LETTERS}
+        pairs = {p for c in LETTERS for p in zip(c.encode(), as_bytes.pre_tokenize_str(c)[0][0])}
+        self._letters = {byte: c for byte, c in pairs if byte != ord(c)}
+        self._merge = self._tokenizer.model.tokenize
+        self._after: dict[bytes, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -70,21 +76,44 @@ class WordEncoder:
         self._ids, self._starts, self._lengths = np.array([self._end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
         self._bytes = 0
 
-    def _encoded(self, word: str) -> list[int]:
+    def _encoded(self, word: bytes) -> list[int]:
         """The ids of a word; plain letters and marks need merges alone, all else the whole library."""
-        if plain := _PLAIN.fullmatch(word.lower()):
-            merge = self._tokenizer.model.tokenize
-            return [t.id for part in plain.groups() if part for t in merge(part.translate(self._letters))]
-        return self._tokenizer.encode(word, add_special_tokens=False).ids
+        core = word.rstrip(_AFTER)
+        if core.isalpha():  # ASCII letters stand for themselves
+            letters = core.lower().decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            plain = _PLAIN.fullmatch(text.lower())
+            if not plain:
+                return self._tokenizer.encode(text, add_special_tokens=False).ids
+            before, letters, _ = plain.groups()
+            if before:
+                return [t.id for part in plain.groups() if part for t in self._merge(self._written(part))]
+            letters = self._written(letters)
+        ids = [t.id for t in self._merge(letters)]
+        return ids + self._marks(word[len(core) :]) if len(core) < len(word) else ids
+
+    def _written(self, part: str) -> str:
+        """Lower-case letters and marks as the vocabulary writes their bytes."""
+        return part.encode().decode("latin-1").translate(self._letters)
+
+    def _marks(self, marks: bytes) -> list[int]:
+        """The ids of the marks behind a word; the few usual ones are kept."""
+        if (ids := self._after.get(marks)) is None:
+            ids = [t.id for t in self._merge(marks.decode())]
+            if len(marks) <= 2:
+                self._after[marks] = ids
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
-        found = [self._encoded(w.decode("utf-8", "replace")) for w in words]
+        found = [self._encoded(w) for w in words]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._number.update(zip(words, range(len(self._starts), len(self._starts) + len(words))))
+        known = len(self._starts)
         self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
         self._lengths = np.concatenate([self._lengths, lengths])
         self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
         self._bytes += sum(map(len, words)) + 4 * int(lengths.sum()) + 100 * len(words)
+        self._number.update(zip(words, range(known, known + len(words))))  # last: a word with a number has ids
 
     def __call__(self, texts: Sequence[bytes], ends: Sequence[bool]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts``, after a text with ``ends`` the end id, and how many each has."""
@@ -103,3 +132,9 @@ class WordEncoder:
         ids = self._ids[np.repeat(self._starts[numbers] - upto[:-1], lengths) + np.arange(upto[-1])]
         edges = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
         return ids, np.diff(upto[edges])
+
+
+@lru_cache(maxsize=1)
+def kept_encoder(vocabulary: str | None = None, end_id: int = 1) -> WordEncoder:
+    """The encoder of this process: what one task has learned, the next one in the same worker knows."""
+    return WordEncoder(vocabulary, end_id)

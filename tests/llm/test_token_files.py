@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.q_token_files import op13_token_files
 from seriesloom.llm.token_files import Shard, ShardWriter, id_bits, pack_bits, read_tokens, unpack_bits, write_tokens
-from seriesloom.llm.word_tokens import WordEncoder, _tokenizer, segments
+from seriesloom.llm.word_tokens import MARKS, WordEncoder, _tokenizer, kept_encoder, segments
 from seriesloom.session import WRITTEN, use_checkpoint_dir
 
 
@@ -49,6 +49,62 @@ def test_words_give_the_ids_of_whole_texts():
         assert ids[a:b].tolist() == whole(text)
 
 
+def test_plain_words_give_the_ids_of_whole_texts():
+    rng = random.Random(2)
+    marks = MARKS.replace("\\", "") + "\\"
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZßàâäçéèêëíîïñôöùüýþÿÀÉÍÑÖÜ"
+    words = ["".join(rng.choices(marks, k=rng.choice([0, 0, 0, 1, 2]))) + "".join(rng.choices(letters[: rng.choice([26, 32, 60])], k=rng.randint(0, 12))) + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 2, 3, 9]))) for _ in range(20_000)]
+    words += ["e\u0301.", "İ.", "K,", "ſs;", "ab\u0301)", "a'", "a',", "'s.", "x<|", "a<|endoftext|>.", "aªb,", "ab0.", "a²", "\u00d7a,"]
+    texts = [" ".join(words[a : a + 50]) for a in range(0, len(words), 50)]
+    encode = WordEncoder()
+    for _ in range(2):  # as new words, and as known ones
+        ids, lengths = encode([t.encode() for t in texts], [True] * len(texts))
+        edges = np.cumsum(lengths)
+        for text, a, b in zip(texts, edges - lengths, edges):
+            assert ids[a:b].tolist() == whole(text)
+
+
+def test_tasks_of_a_worker_share_known_words(spark):
+    """A second task of the same process encodes none of the words that the first one met."""
+
+    def learned(batches):
+        from seriesloom.llm import token_files, word_tokens
+
+        calls, learn = [0], word_tokens.WordEncoder._learn
+
+        def count(self, words):
+            calls[0] += len(words)
+            return learn(self, words)
+
+        word_tokens.WordEncoder._learn = count
+        try:
+            encoder = getattr(token_files, "kept_encoder", word_tokens.WordEncoder)(None, 1)
+            for _ in token_files._encoded(batches, encoder):
+                pass
+        finally:
+            word_tokens.WordEncoder._learn = learn
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(calls, pa.int64())], ["calls"])
+
+    docs = spark.createDataFrame([(k, b"worker words that were met once") for k in range(40)], "doc_id bigint, text binary").repartition(40)
+    counts = [r["calls"] for r in docs.mapInArrow(learned, "calls bigint").collect()]
+    workers = 16  # more than the local session has
+    assert sum(counts) <= workers * 6 < 40 * 6
+
+
+def test_kept_encoder_forgets_and_stays_right(monkeypatch):
+    from seriesloom.llm import word_tokens
+
+    monkeypatch.setattr(word_tokens, "KEPT_BYTES", 500)
+    encode, first = kept_encoder(None, 1), kept_encoder(None, 1)
+    assert encode is first and kept_encoder(None, 2) is not first
+    for k in range(20):
+        text = " ".join(f"w{chr(97 + k)}{chr(97 + j)}, é{chr(97 + j)}." for j in range(9))
+        ids, _ = encode([text.encode()], [True])
+        assert ids.tolist() == whole(text) and encode._bytes < 5000
+
+
 def test_segments_lose_nothing_but_a_blank():
     text = b"ab  cd\nefghi j" * 9 + b"x" * 50
     parts = list(segments(text, 10))
