@@ -1,3 +1,4 @@
+import json
 import random
 import sys
 import unicodedata
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.q_token_files import op13_token_files
 from seriesloom.llm.token_files import Shard, ShardWriter, id_bits, pack_bits, read_tokens, unpack_bits, write_tokens
-from seriesloom.llm.word_tokens import MARKS, WordEncoder, _tokenizer, kept_encoder, segments
+from seriesloom.llm.word_tokens import MARKS, WordEncoder, _tokenizer, byte_of, kept_encoder, segments
 from seriesloom.session import WRITTEN, use_checkpoint_dir
 
 
@@ -105,6 +106,56 @@ def test_kept_encoder_forgets_and_stays_right(monkeypatch):
         assert ids.tolist() == whole(text) and encode._bytes < 5000
 
 
+def test_each_token_comes_out_of_its_own_merges():
+    """What the ids by ranks rely on: ids rise with the merges, and no token is out of reach of its bytes."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model = json.loads(_tokenizer(None).to_str())["model"]
+    ids, merges = model["vocab"], [tuple(m) for m in model["merges"]]
+    rank = {pair: k for k, pair in enumerate(merges)}
+    assert [ids[a + b] for a, b in merges] == [*range(512, 512 + len(merges))] and all(max(ids[a], ids[b]) < ids[a + b] for a, b in merges)
+    assert {c: b for c, b in byte_of().items()}.keys() == set(ByteLevel.alphabet()) and sorted(byte_of().values()) == [*range(256)]
+    for token in ids:
+        part = token.removesuffix("</w>")
+        symbols = [*part[:-1], part[-1] + token[len(part) :]]
+        while len(symbols) > 1:
+            k = min(range(len(symbols) - 1), key=lambda k: rank.get((symbols[k], symbols[k + 1]), len(rank)))
+            assert (symbols[k], symbols[k + 1]) in rank, token
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        assert symbols == [token]
+
+
+def test_plain_words_are_learned_at_once_and_looked_up_once_a_portion():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcéß0123.,(-_/", k=rng.randint(1, 12))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(20)]
+    encode = WordEncoder()
+    encode._tokenizer, encode._number = None, Counted(encode._number)  # the whole library is not asked
+    for _ in range(2):
+        ids, lengths = encode([t.encode() for t in texts], [True] * len(texts))
+        edges = np.cumsum(lengths)
+        assert [ids[a:b].tolist() for a, b in zip(edges - lengths, edges)] == [whole(t) for t in texts]
+    assert encode._number.asked <= 2 * (len(set(words)) + 1)
+
+
+def test_any_bytes_and_blanks():
+    texts = [b"a" + bytes([b]) + b"Bc" + bytes([b]) for b in range(256)]
+    texts += [b"", b" ", b"\x0b\x0c", b"x\xe2\x82\n\x82y", b"\x1f\x1fa\x1f b\x1c", b"\xf0\x9f\x98", b"a1" * 200 + b" " + b"b" * 257]
+    encode = WordEncoder()
+    ends = [k % 3 != 1 for k in range(len(texts))]
+    ids, lengths = encode(texts, ends)
+    edges = np.cumsum(lengths)
+    for text, end, a, b in zip(texts, ends, edges - lengths, edges):
+        assert ids[a:b].tolist() == whole(text.decode("utf-8", "replace"))[: None if end else -1]
+
+
 def test_segments_lose_nothing_but_a_blank():
     text = b"ab  cd\nefghi j" * 9 + b"x" * 50
     parts = list(segments(text, 10))
