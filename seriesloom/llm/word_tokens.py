@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k"
 #: Words are forgotten beyond this many bytes, and texts are read in segments of about this size.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 64 << 20
 SEGMENT_BYTES = 1 << 20
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Letters that are whole characters in any normal form, with one lower case. Digits and marks beside
